@@ -6,19 +6,54 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import license_scan, source_mix
+from .license_scan import licenses
 from .near_dedup import Plan, near_duplicates
+from .packing import pack
+from .secret_scan import scan_secrets
+from .source_mix import mix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_pareto_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, Plan(words=3, percent=85))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pareto_source_mix": op2_pareto_source_mix,
+    "op6_license_scan": op6_license_scan,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_secret_scan": op8_secret_scan,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_pareto_source_mix": source_mix.SQL,
+    "op6_license_scan": license_scan.oracle(),
+}
