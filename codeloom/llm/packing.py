@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as K
 from .common import text_batches
 
 CAPACITY = 2048
@@ -31,53 +32,107 @@ OPEN_BINS = 1024
 #: Pieces that wait and are placed longest first.
 LOOKAHEAD = 16384
 #: Pre-tokens held by one worker.
-MEMO = 600_000
+MEMO = 1_000_000
 
-_LETTER = "a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĳĵķĸĺļľŀłńņňŉŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżžſ"
 #: Anything but ASCII and the Latin letters whose case and form are plain.
 _ODD = re.compile("[^\x00-\x7fÀ-ÖØ-öø-įĲ-ſ]|<\\|")
-#: str.split also cuts at these, the tokenizer doesn't.
-_CONTROL = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^ \t\n\r\x0b\x0c{_LETTER}0-9]+")
+#: Classes of UTF-8 bytes of a text without odd characters.
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_CLASS = np.array([_SPACE if b in (32, 9, 10, 11, 12, 13) else _LETTER if b >= 128 or 97 <= b <= 122 else _DIGIT if 48 <= b <= 57 else _OTHER for b in range(256)], np.uint8)
+
+
+def pre_tokens(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokenizer's pre-tokens in lower-cased bytes:
+    runs of letters, single digits, runs of other characters, and the endings
+    's 't 'm 'd 're 've 'll where the apostrophe begins such a run."""
+    kind = _CLASS[raw]
+    first = kind != _SPACE
+    first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    quote = np.flatnonzero((raw == 39) & first)
+    quote = quote[quote + 1 < len(raw)]
+    if len(quote):
+        one = raw[quote + 1]
+        two = raw[np.minimum(quote + 2, len(raw) - 1)]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = (((one == 114) | (one == 118)) & (two == 101)) | ((one == 108) & (two == 108))
+        long &= quote + 2 < len(raw)
+        first[quote[short | long] + 1] = False
+        for at in (quote[short] + 2, quote[long] + 3):
+            at = at[at < len(raw)]
+            first[at] |= kind[at] == _LETTER
+    last = kind != _SPACE
+    last[:-1] &= (kind[1:] == _SPACE) | first[1:]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+class Memo:
+    """64-bit hashes to places, by open addressing in numpy arrays."""
+
+    def __init__(self, most: int):
+        self.most, self.count = most, 0
+        self.slots = 1 << (2 * most).bit_length()
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.value = np.zeros(self.slots, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places, -1 where there is none."""
+        out = np.full(len(h), -1, np.int64)
+        todo = np.arange(len(h))
+        slot = (h >> np.uint64(20)).astype(np.int64) & (self.slots - 1)
+        while len(todo):
+            k = self.keys[slot]
+            hit = k == h[todo]
+            out[todo[hit]] = self.value[slot[hit]]
+            on = ~hit & (k != 0)
+            todo, slot = todo[on], (slot[on] + 1) & (self.slots - 1)
+        return out
+
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct new hashes."""
+        self.count += len(h)
+        todo = np.arange(len(h))
+        slot = (h >> np.uint64(20)).astype(np.int64) & (self.slots - 1)
+        while len(todo):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            s, which = np.unique(slot[free], return_index=True)
+            won = free[which]
+            self.keys[s], self.value[s] = h[todo[won]], values[todo[won]]
+            on = np.ones(len(todo), bool)
+            on[won] = False
+            todo, slot = todo[on], slot[on]
+            slot = np.where(self.keys[slot] == 0, slot, (slot + 1) & (self.slots - 1))
 
 
 class Encoder:
     """Ids of whole texts, equal to those of the tokenizer file.
 
-    White-space separated words are looked up in one memo; a new word is split
-    into pre-tokens, and those are looked up in another. Full memos keep what
-    they have; words beyond them are encoded anew in each batch.
+    Pre-tokens are looked up by 64-bit hash in a memo of ``MEMO`` entries. A
+    full memo keeps what it has; pre-tokens beyond it are encoded anew in each
+    batch.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, sizes and ids of new words."""
-        split = list(map(_PIECES.findall, words))
-        lost = list(dict.fromkeys(p for q in split for p in q if p not in self.pieces))
-        known = self.pieces if len(self.pieces) + len(lost) <= MEMO else dict(self.pieces)
-        for at in range(0, len(lost), 1 << 13):
-            some = lost[at : at + (1 << 13)]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[p] = e.ids
+        self.memo = Memo(MEMO)
+        self.start = np.zeros(MEMO, np.int64)
+        self.size = np.zeros(MEMO, np.int64)
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def _encode(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of the pre-tokens at these places."""
+        data = raw.tobytes()
+        words = [data[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())]
         flat: list[int] = []
         sizes = []
-        for q in split:
-            n = len(flat)
-            for p in q:
-                flat += known[p]
-            sizes.append(len(flat) - n)
-        size = np.array(sizes, np.int64)
-        return np.cumsum(size) - size + len(self.ids), size, np.array(flat, np.uint32)
+        for at in range(0, len(words), 1 << 13):
+            for e in self.tokenizer.encode_batch_fast(words[at : at + (1 << 13)], add_special_tokens=False):
+                ids = e.ids
+                sizes.append(len(ids))
+                flat += ids
+        return np.array(sizes, np.int64), np.array(flat, np.uint32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
@@ -86,30 +141,38 @@ class Encoder:
         for i, e in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False) if odd else []):
             out[i] = np.array(e.ids, np.uint32)
         plain = [i for i in range(len(texts)) if out[i] is None]
-        words: list[str] = []
-        counts = []
-        for i in plain:
-            found = _SPACE.split(texts[i].lower()) if _CONTROL.search(texts[i]) else texts[i].lower().split()
-            counts.append(len(found))
-            words += found
-        at = list(map(self.words.get, words))
-        miss = [i for i, k in enumerate(at) if k is None]
+        if not plain:
+            return out  # type: ignore[return-value]
+        lowered = [texts[i].lower().encode() for i in plain]
+        raw = np.frombuffer(b"\n".join(lowered), np.uint8)
+        starts, ends = pre_tokens(raw)
+        h = np.maximum(K.hash_tokens(raw, starts, ends), K.U(1))
+        k = self.memo.find(h)
+        miss = np.flatnonzero(k < 0)
         start, size, ids = self.start, self.size, self.ids
-        if miss:
-            lost = {w: len(start) + k for k, w in enumerate(dict.fromkeys(words[i] for i in miss))}
-            for i in miss:
-                at[i] = lost[words[i]]
-            more = self._new(list(lost))
-            start, size, ids = np.r_[start, more[0]], np.r_[size, more[1]], np.r_[ids, more[2]]
-            if len(start) <= MEMO:
-                self.words |= lost
-                self.start, self.size, self.ids = start, size, ids
-        k = np.array(at, np.int64)
+        if len(miss):
+            new, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            more_size, more_ids = self._encode(raw, starts[miss[at]], ends[miss[at]])
+            n, fits = self.memo.count, self.memo.count + len(new) <= MEMO
+            if fits:
+                k[miss] = n + back
+                if self.used + len(more_ids) > len(ids):
+                    self.ids = ids = np.resize(ids, 2 * (self.used + len(more_ids)))
+                ids[self.used : self.used + len(more_ids)] = more_ids
+                start[n : n + len(new)] = self.used + np.cumsum(more_size) - more_size
+                size[n : n + len(new)] = more_size
+                self.memo.add(new, np.arange(n, n + len(new), dtype=np.int32))
+                self.used += len(more_ids)
+            else:
+                k[miss] = len(start) + back
+                start = np.r_[start, len(ids) + np.cumsum(more_size) - more_size]
+                size, ids = np.r_[size, more_size], np.r_[ids, more_ids]
         part = size[k]
-        ends = np.cumsum(part)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = ids[np.arange(total) + np.repeat(start[k] - (ends - part), part)]
-        bounds = np.r_[0, ends][np.r_[0, np.cumsum(np.array(counts, np.int64))]]
+        done = np.cumsum(part)
+        total = int(done[-1]) if len(done) else 0
+        ids = ids[np.arange(total) + np.repeat(start[k] - (done - part), part)]
+        begin = np.cumsum(np.r_[0, [len(t) + 1 for t in lowered]])
+        bounds = np.r_[0, done][np.searchsorted(starts, begin)]
         for j, i in enumerate(plain):
             out[i] = ids[bounds[j] : bounds[j + 1]]
         return out  # type: ignore[return-value]

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_batches
 
@@ -150,7 +151,8 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     ``n_chars``, where there is one, set to the new length. Null texts stay."""
     text_batches(docs.sparkSession)
     inner = docs.select(F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    out = inner.mapInArrow(_scanner(True), f"text string, row {inner.schema['row'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
+    found = T._parse_datatype_string(SCHEMA.split(", ", 1)[1])
+    out = inner.mapInArrow(_scanner(True), T.StructType([*inner.schema.fields, *found.fields]))
     cols = []
     for c in docs.columns:
         if c == "text":
