@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Rows in one Arrow batch of whole texts. Bounds a Python worker's memory.
 TEXT_BATCH_ROWS = 256
 #: Largest row count that ``join_small`` broadcasts; more rows go by shuffle.
@@ -21,8 +23,10 @@ _written: list[tuple[SparkSession, str]] = []
 def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     """Set the session's Arrow batch size for operators that carry texts.
 
-    The setting stays, since plans run after the operator has returned.
+    The setting stays, since plans run after the operator has returned. The
+    package is sent to the workers, too.
     """
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

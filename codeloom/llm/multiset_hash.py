@@ -47,7 +47,7 @@ def states(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     whole = K.mix(np.add.reduceat(K.mix(words + place.astype(K.U) * K.U(0x9E3779B97F4A7C15)), begin))
     per_text = np.searchsorted(begin, bounds)
     for j in range(EQUAL):
-        equal[:, j] = K.reduce_segments(np.add, K.mix(whole + K.U(j + 1) * K.U(0xD6E8FEB86659FD93)), per_text, K.U(0))
+        equal[:, j] = K.reduce_segments(np.add, K.mix(whole + K.U((j + 1) * 0xD6E8FEB86659FD93 % 2**64)), per_text, K.U(0))
     # word pairs within a line; a line of one word has that word
     nxt = np.r_[words[1:], K.U(0)]
     final = np.r_[new[1:], True]
@@ -61,7 +61,7 @@ def states(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     owner = np.searchsorted(count, cuts, "right") - 1
     mask = K.U(0x0001000100010001)
     for w in range(LIKE // 64):
-        h = pair if w == 0 else K.mix(pair + K.U(w) * K.U(0xA0761D6478BD642F))
+        h = pair if w == 0 else K.mix(pair + K.U(w * 0xA0761D6478BD642F % 2**64))
         for b in range(16):
             sums = np.add.reduceat((h >> K.U(b)) & mask, cuts)
             for lane in range(4):

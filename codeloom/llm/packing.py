@@ -65,44 +65,6 @@ def pre_tokens(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-class Memo:
-    """64-bit hashes to places, by open addressing in numpy arrays."""
-
-    def __init__(self, most: int):
-        self.most, self.count = most, 0
-        self.slots = 1 << (2 * most).bit_length()
-        self.keys = np.zeros(self.slots, np.uint64)
-        self.value = np.zeros(self.slots, np.int32)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Places, -1 where there is none."""
-        out = np.full(len(h), -1, np.int64)
-        todo = np.arange(len(h))
-        slot = (h >> np.uint64(20)).astype(np.int64) & (self.slots - 1)
-        while len(todo):
-            k = self.keys[slot]
-            hit = k == h[todo]
-            out[todo[hit]] = self.value[slot[hit]]
-            on = ~hit & (k != 0)
-            todo, slot = todo[on], (slot[on] + 1) & (self.slots - 1)
-        return out
-
-    def add(self, h: np.ndarray, values: np.ndarray) -> None:
-        """Adds distinct new hashes."""
-        self.count += len(h)
-        todo = np.arange(len(h))
-        slot = (h >> np.uint64(20)).astype(np.int64) & (self.slots - 1)
-        while len(todo):
-            free = np.flatnonzero(self.keys[slot] == 0)
-            s, which = np.unique(slot[free], return_index=True)
-            won = free[which]
-            self.keys[s], self.value[s] = h[todo[won]], values[todo[won]]
-            on = np.ones(len(todo), bool)
-            on[won] = False
-            todo, slot = todo[on], slot[on]
-            slot = np.where(self.keys[slot] == 0, slot, (slot + 1) & (self.slots - 1))
-
-
 class Encoder:
     """Ids of whole texts, equal to those of the tokenizer file.
 
@@ -115,7 +77,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(MEMO)
+        self.memo = K.Memo(MEMO)
         self.start = np.zeros(MEMO, np.int64)
         self.size = np.zeros(MEMO, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import language_id, license_scan, source_mix, toxicity
+from .ann_forest import search
 from .common import doc_bucket
 from .html_extract import extract
 from .license_scan import licenses
@@ -27,6 +28,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda c: c % 100 == 0)
+
+
 def op2_pareto_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -72,6 +77,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann_forest": op1_ann_forest,
     "op2_pareto_source_mix": op2_pareto_source_mix,
     "op3_language_id": op3_language_id,
     "op4_multiset_fingerprints": op4_multiset_fingerprints,
@@ -84,8 +90,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_pareto_source_mix": source_mix.SQL,
-    "op3_language_id": op3_language_id,
-    "op4_multiset_fingerprints": op4_multiset_fingerprints,
-    "op5_toxicity": op5_toxicity,
     "op6_license_scan": license_scan.oracle(),
 }

@@ -51,7 +51,7 @@ def allocate(totals: DataFrame, most: float = MOST) -> DataFrame:
         .withColumn("left", F.sum("size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("rest", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("level", F.when(F.col("left") / F.col("rest") <= F.col("ratio"), F.col("left") / F.col("rest")))
-        .withColumn("level", F.min("level").over(everything))
+        .withColumn("level", F.max("level").over(everything))  # they fall after the first
     )
     return t.withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))).select(*totals.columns, "target")
 
@@ -90,63 +90,97 @@ def _cut(rows: DataFrame, budget: DataFrame, half: bool) -> DataFrame:
     return budget.select("key").join(ends, "key", "left")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, most: int = MOST, boost: str | None = None, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken for every row of docs.
+def _key() -> Column:
+    return F.when(F.col("source").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
 
-    docs: doc_id, text, source (and ``boost``, a positive number). weights:
-    source, weight > 0; without it sources in code-point order, null last,
+
+def _with_chances(rows: DataFrame, most: int) -> DataFrame:
+    """Adds whole copies, the chance p of one more, and the rank v in [0, 1)."""
+    rows = rows.withColumn("_want", F.least(F.lit(float(most)), F.col("_wish") * F.col("_per_word")))
+    rows = rows.withColumn("_whole", F.floor(F.col("_want") + 1e-12).cast("long")).withColumn("_p", F.greatest(F.lit(0.0), F.col("_want") - F.col("_whole")))
+    low, high = F.col("_u") * (1 - F.col("_p")), F.col("_p") * (1 - F.col("_u"))
+    return rows.withColumn("_v", low / (low + high)).withColumn("_open", (F.col("_p") > 0) & (F.col("_size") > 0)).withColumn("_extra", F.lit(False))
+
+
+def _free(r: int) -> Column:
+    """Whether a row is a candidate of round r; gap and cuts are its source's."""
+    fits = F.lit(True) if r == 0 else F.col("_size") / (2 if r == ROUNDS - 1 else 1) <= F.col(f"_gap{r}")
+    return F.col("_open") & ~F.col("_extra") & (F.col(f"_gap{r}") > 0) & fits
+
+
+def _decide(rows: DataFrame, r: int) -> DataFrame:
+    place, cut = F.struct(F.col("_v").alias("v"), F.col("_id").alias("id")), F.col(f"_cut{r}")
+    take = _free(r) & (cut.isNull() | (place < cut) | (F.col(f"_also{r}") & (place == cut)))
+    return rows.withColumn("_extra", F.col("_extra") | take)
+
+
+def mixed(docs: DataFrame, weights: DataFrame | None = None, most: int = MOST, boost: str | None = None, seed: str = "mix") -> DataFrame:
+    """docs with mix_size, mix_source_size, mix_target and mix_copies.
+
+    docs: doc_id, text, source (and ``boost``, a positive number) and any
+    other columns, which stay. weights: source, weight > 0 (sources that it
+    lacks are left out); without it sources in code-point order, null last,
     weigh 1, 2, 3, repeating. A null source is a source of its own. Null and
-    empty texts have size 0 and take no words. Rows that repeat an id share
-    its random number and are taken in one go or not at all but at the end of
-    a prefix. The random number is the md5 of ``seed`` and the id, so reruns
-    agree. An empty table gives no rows; other columns are ignored.
+    empty texts have size 0 and get whole copies only. Rows that repeat an id
+    share its random number and are decided alike. The random number is the
+    md5 of ``seed`` and the id, so reruns agree. An empty table gives no rows.
+
+    The decisions are a few numbers per source, so texts are never shuffled.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "source-mix")
-    key = F.when(F.col("source").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
     wish = F.coalesce(F.col(boost).cast("double"), F.lit(1.0)) if boost else F.lit(1.0)
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
-    sized = scratch.write(docs.select("doc_id", key.alias("key"), word_count("text").alias("size"), wish.alias("wish"), u.alias("u")), "sized")
-    totals = sized.groupBy("key").agg(F.sum("size").alias("size"), F.sum(F.col("size") * F.col("wish")).alias("wished"))
+    own = {"_key": _key(), "_size": word_count("text"), "_wish": wish, "_u": u, "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))}
+    sized = scratch.write(docs.select(*(c.alias(n) for n, c in own.items())), "sized")
+    totals = sized.groupBy(F.col("_key").alias("key")).agg(F.sum("_size").alias("size"), F.sum(F.col("_size") * F.col("_wish")).alias("wished"))
     if weights is None:
-        place = F.row_number().over(W.orderBy("key")) - 1  # '=' sorts before '~'
+        place = F.row_number().over(W.orderBy("key")) - 1  # '=' sorts before '~'; one row a source
         totals = totals.withColumn("weight", (place % 3 + 1).cast("double"))
     else:
-        named = weights.select(F.when(F.col("source").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), F.col("source").cast("string"))).alias("key"), F.col("weight").cast("double").alias("weight"))
-        totals = totals.join(named, "key").filter("weight > 0")
-    plan = scratch.write(allocate(totals, most).withColumnRenamed("size", "source_size"), "plan")
+        totals = totals.join(weights.select(_key().alias("key"), F.col("weight").cast("double").alias("weight")), "key").filter("weight > 0")
     per_word = F.when(F.col("wished") > 0, F.col("target") / F.col("wished")).otherwise(0.0)
-    rows = join_small(sized, plan.select("key", "source_size", "target", per_word.alias("per_word")), ["key"], "inner")
-    want = F.least(F.lit(float(most)), F.col("wish") * F.col("per_word"))
-    rows = rows.withColumn("want", want).withColumn("whole", F.floor(F.col("want") + 1e-12).cast("long"))
-    p = F.greatest(F.lit(0.0), F.col("want") - F.col("whole"))
-    rows = rows.withColumn("p", p).withColumn("v", F.col("u") * (1 - F.col("p")) / (F.col("u") * (1 - F.col("p")) + F.col("p") * (1 - F.col("u"))))
-    rows = rows.withColumn("open", (F.col("p") > 0) & (F.col("size") > 0)).withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-
-    sure = rows.groupBy("key").agg(F.sum(F.col("size") * F.col("whole")).alias("sure"))
-    state = plan.join(sure, "key").select("key", (F.col("target") - F.col("sure")).alias("gap"))
-    state = scratch.write(state, "gap0")
-    chosen = rows.withColumn("extra", F.lit(False))
+    plan = allocate(totals, most).select(F.col("key").alias("_key"), F.col("size").alias("_source_size"), F.col("target").alias("_target"), per_word.alias("_per_word"))
+    plan = scratch.write(plan, "plan")
+    sure = _with_chances(join_small(sized, plan, ["_key"], "inner"), most).groupBy("_key").agg(F.sum(F.col("_size") * F.col("_whole")).alias("sure"))
+    plan = scratch.write(plan.join(sure, "_key").withColumn("_gap0", F.col("_target") - F.col("sure")).drop("sure"), "plan0")
+    for r in range(ROUNDS):
+        rows = _with_chances(join_small(sized, plan, ["_key"], "inner"), most)
+        for q in range(r):
+            rows = _decide(rows, q)
+        open_rows = rows.filter(_free(r)).select(F.col("_key").alias("key"), F.col("_v").alias("v"), F.col("_id").alias("id"), F.col("_size").alias("size"))
+        cuts = _cut(open_rows, plan.select(F.col("_key").alias("key"), F.col(f"_gap{r}").alias("gap")), half=r == ROUNDS - 1)
+        cuts = cuts.select(F.col("key").alias("_key"), F.col("cut").alias(f"_cut{r}"), F.col("also").alias(f"_also{r}"))
+        plan = scratch.write(plan.join(cuts, "_key"), f"cuts{r}")
+        if r < ROUNDS - 1:
+            rows = _with_chances(join_small(sized, plan, ["_key"], "inner"), most)
+            for q in range(r + 1):
+                rows = _decide(rows, q)
+            used = rows.filter("_extra").groupBy("_key").agg(F.sum("_size").alias("used"))
+            gap = (F.col("_gap0") - F.coalesce("used", F.lit(0))).alias(f"_gap{r + 1}")
+            plan = scratch.write(plan.join(used, "_key", "left").select(*plan.columns, gap), f"plan{r + 1}")
+    names = docs.columns
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), *(c.alias(n) for n, c in own.items()))
+    rows = _with_chances(join_small(rows, plan, ["_key"], "inner"), most)
     for r in range(ROUNDS):
-        last = r == ROUNDS - 1
-        at = join_small(chosen, state.withColumnRenamed("gap", "room"), ["key"], "inner")
-        free = F.col("open") & ~F.col("extra") & (F.col("room") > 0)
-        fits = F.lit(True) if r == 0 else F.col("size") / (2 if last else 1) <= F.col("room")
-        cuts = scratch.write(_cut(at.filter(free & fits).select("key", "v", "id", "size"), state, half=last), f"cut{r}")
-        at = join_small(at, cuts, ["key"], "inner")
-        place = F.struct("v", "id")
-        take = free & fits & (F.col("cut").isNull() | (place < F.col("cut")) | (F.col("also") & (place == F.col("cut"))))
-        chosen = at.withColumn("extra", F.col("extra") | take).drop("room", "cut", "also")
-        if not last:
-            chosen = scratch.write(chosen, f"chosen{r}")
-            used = chosen.filter("extra").groupBy("key").agg(F.sum("size").alias("used"))
-            first = spark.read.schema(state.schema).parquet(f"{scratch.base}/gap0")
-            state = scratch.write(first.join(used, "key", "left").select("key", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")), f"gap{r + 1}")
-            if r:
-                scratch.drop(f"chosen{r - 1}")
-    copies = F.col("whole") + F.col("extra").cast("long")
-    return chosen.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        rows = _decide(rows, r)
+    # the explode keeps filters on the result from being unfolded into all these terms
+    rows = rows.withColumn("_copies", F.explode(F.array(F.col("_whole") + F.col("_extra").cast("long"))))
+    return rows.select(
+        *(F.col(f"_row.`{c}`").alias(c) for c in names),
+        F.col("_size").alias("mix_size"),
+        F.col("_source_size").alias("mix_source_size"),
+        F.col("_target").alias("mix_target"),
+        F.col("_copies").alias("mix_copies"),
+    )
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, copies and taken (words, repeats
+    counted) of every row of docs; see ``mixed``."""
+    m = mixed(docs, **options)
+    return m.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_copies").alias("copies"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
 #: The same in SQL, by whole sorts instead of histograms.
@@ -166,7 +200,7 @@ levels as (
   from ordered),
 plan as (
   select key, size as source_size,
-    least(cap, coalesce((select min(lvl) from levels where lvl <= ratio) * weight, cap)) as target
+    least(cap, coalesce((select max(lvl) from levels where lvl <= ratio) * weight, cap)) as target
   from levels),
 wants as (
   select s.*, p.source_size, p.target, case when p.source_size > 0 then p.target / p.source_size else 0.0 end as want

@@ -32,6 +32,8 @@ WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 14
 #: Labelled documents of each class that are learned from, at most, and the
 #: longest text among them in characters. Both bound the driver's memory.
 SAMPLE, SAMPLE_CHARS = 1500, 200_000
+#: Words whose input vectors a scoring task remembers.
+MEMO = 250_000
 EPOCHS, BATCH, RATE = 10, 256, 0.01
 _NGRAMS = (3, 4)
 
@@ -39,14 +41,18 @@ _NGRAMS = (3, 4)
 class Words:
     """The distinct words of a block of texts and where they stand."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, skip: K.Memo | None = None):
+        """With ``skip``, only words that aren't in it get their n-grams."""
         raw = K.lower_ascii(raw)
         starts, ends, self.bounds = K.tokens(raw, offsets, K.LETTERS)
         h = K.hash_tokens(raw, starts, ends)
-        keys, first, self.at = np.unique(h, return_index=True, return_inverse=True)
-        self.word = (keys % K.U(WORD_ROWS)).astype(np.int64)
+        self.keys, first, self.at = np.unique(h, return_index=True, return_inverse=True)
+        self.known = skip.find(np.maximum(self.keys, K.U(1))) if skip else np.full(len(first), -1)
+        self.new = np.flatnonzero(self.known < 0)
+        first = first[self.new]
+        self.word = (self.keys[self.new] % K.U(WORD_ROWS)).astype(np.int64)
         self.gram, self.owner = self._grams(raw, starts[first], ends[first])
-        self.count = np.maximum(np.bincount(self.owner, minlength=len(keys)), 1).astype(np.float32)
+        self.count = np.maximum(np.bincount(self.owner, minlength=len(first)), 1).astype(np.float32)
 
     @staticmethod
     def _grams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,9 +103,10 @@ class Network:
         for d in "fb":
             self.p |= {f"w{d}": f(DIM, 3 * HIDDEN, k=0.3), f"u{d}": f(HIDDEN, 3 * HIDDEN, k=0.3), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.scale, self.shift = 1.0, 0.0
+        self.memo: K.Memo | None = None
 
     def inputs(self, words: Words) -> np.ndarray:
-        """The input vector of each distinct word."""
+        """The input vector of each word with n-grams."""
         x = self.p["word"][words.word].copy()
         if len(words.gram):
             present = np.flatnonzero(np.r_[True, words.owner[1:] != words.owner[:-1]])
@@ -180,9 +187,22 @@ class Network:
             g |= {f"u{d}": du, f"w{d}": dw, f"c{d}": dc}
         return g, dx
 
-    def window_logits(self, words: Words, first: np.ndarray, length: np.ndarray, size: int = 4096) -> np.ndarray:
+    def remember(self, words: Words) -> np.ndarray:
+        """The input vectors of all words; new ones are kept for later blocks."""
+        fresh = self.inputs(words)
+        n = self.memo.count
+        x = np.empty((len(words.keys), DIM), np.float32)
+        old = words.known >= 0
+        x[old] = self.vectors[words.known[old]]
+        x[words.new] = fresh
+        if n + len(fresh) <= MEMO:
+            self.vectors[n : n + len(fresh)] = fresh
+            self.memo.add(np.maximum(words.keys[words.new], K.U(1)), np.arange(n, n + len(fresh), dtype=np.int32))
+        return x
+
+    def window_logits(self, words: Words, first: np.ndarray, length: np.ndarray, size: int = 4096, x: np.ndarray | None = None) -> np.ndarray:
         out = np.empty(len(first), np.float32)
-        proj = self.projections(self.inputs(words))
+        proj = self.projections(self.inputs(words) if x is None else x)
         for i in range(0, len(first), size):
             idx, mask = _steps(words, first[i : i + size], length[i : i + size])
             out[i : i + size] = self.forward(proj, idx, mask)
@@ -190,14 +210,17 @@ class Network:
 
     def scores(self, col: pa.Array) -> np.ndarray:
         """Score of each text; without a word, that of the calmest window."""
+        if self.memo is None:
+            self.memo, self.vectors = K.Memo(MEMO), np.zeros((MEMO, DIM), np.float32)
         batch = pa.RecordBatch.from_arrays([col], names=["text"])
         out = []
         for part in K.blocks(batch, "text", 2 << 20):
             worst = np.full(part.num_rows, -30.0)
-            words = Words(*K.buffers(part.column("text")))
+            words = Words(*K.buffers(part.column("text")), self.memo)
             first, length, text = words.windows()
             if len(first):
-                np.maximum.at(worst, text, self.window_logits(words, first, length).astype(np.float64))
+                logits = self.window_logits(words, first, length, x=self.remember(words))
+                np.maximum.at(worst, text, logits.astype(np.float64))
             out.append(_sigmoid(worst * self.scale + self.shift))
         return np.concatenate(out) if out else np.zeros(0)
 
