@@ -27,3 +27,21 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"{root.name}/{p.relative_to(root)}")
     context.addPyFile(str(target))
     _shipped.add(context.applicationId)
+
+
+def checkpoint(df):
+    """df written to the cluster's shared checkpoint folder, its lineage cut.
+
+    The folder is the one in ``spark.checkpoint.dir``; where that is unset, and
+    only on a local master, a fresh one.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+            folder = tempfile.mkdtemp(prefix="codeloom-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
