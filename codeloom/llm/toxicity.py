@@ -76,7 +76,7 @@ class Words:
             owners.append(owner[ok])
         row, own = np.concatenate(rows), np.concatenate(owners)
         order = np.argsort(own, kind="stable")
-        return row[order], own[order]
+        return row[order].astype(np.int32), own[order].astype(np.int32)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word, length and text of every window; the last of a text
@@ -250,17 +250,17 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Network:
     doc, word = pair // len(words.word), pair % len(words.word)
     n1, n0 = y.sum(), len(y) - y.sum()
 
-    def odds(rows: np.ndarray, docs: np.ndarray, size: int) -> np.ndarray:
-        seen = np.unique(docs * size + rows)
-        d, r = seen // size, seen % size
-        a, b = np.bincount(r, y[d], size), np.bincount(r, 1 - y[d], size)
+    df1 = np.bincount(word, y[doc], len(words.word))
+    df0 = np.bincount(word, 1 - y[doc], len(words.word))
+
+    def odds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.clip(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)), -2, 4) * np.minimum(1, (a + b) / 4)
 
-    net.p["word"][:, 0] = odds(words.word[word], doc, WORD_ROWS) * 0.5
-    ends = np.searchsorted(words.owner, np.arange(len(words.word) + 1))
-    reps = np.diff(ends)[word]
-    flat = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(ends[:-1][word], reps)
-    net.p["gram"][:, 1] = odds(words.gram[flat], np.repeat(doc, reps), GRAM_ROWS) * 0.5
+    at = lambda x: np.bincount(words.word, x, WORD_ROWS)
+    net.p["word"][:, 0] = odds(at(df1), at(df0)) * 0.5
+    at = lambda x: np.bincount(words.gram, x[words.owner], GRAM_ROWS)
+    net.p["gram"][:, 1] = odds(at(df1), at(df0)) * 0.5
+    del pair, doc, word, in_text
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
@@ -352,7 +352,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
         net = Network()
         net.scale, net.shift = 0.0, 0.0
         return net
-    return train(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
+    toxic = rows.column("toxic").to_pylist()
+    net = train(rows.column("text").to_pylist(), toxic)
+    # the sample is balanced, the labels aren't: scores follow the labels' odds
+    n = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
+    if net.scale and all(n.get(c) for c in (0, 1)):
+        net.shift += float(np.log(n[1] / n[0]) - np.log(sum(toxic) / (len(toxic) - sum(toxic))))
+    return net
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
