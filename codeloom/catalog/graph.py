@@ -262,10 +262,10 @@ def impact_by_depth(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "impact_stop_nodes",
-    f"{_bfs_sql('src', 'dst', 3, ' and dst % 10 <> 0')} select cast(id as bigint) as id, depth from reached where depth > 0",
+    f"{_bfs_sql('src', 'dst', 3, " and dst not in (select p_partkey from part where p_name like 'red %')")} select cast(id as bigint) as id, depth from reached where depth > 0",
 )
 def impact_stop_nodes(spark: SparkSession, d: str) -> DataFrame:
-    stop = part_nodes(spark, d).filter("id % 10 = 0").select("id")
+    stop = part_nodes(spark, d).filter("name like 'red %'").select("id")
     return T.bfs(_strong(spark, d), spark.createDataFrame([(13,)], "id long"), 3, stop=stop).filter("depth > 0")
 
 
@@ -275,14 +275,14 @@ _INH = with_("inherit")
 @query(
     "ancestors_bfs",
     f"""{_INH}, walk(root, id, depth) as (
-      select src, dst, 1 from inherit where src % 50 = 7 union select root, i.dst, depth + 1 from walk join inherit i on i.src = walk.id)
+      select src, dst, 1 from inherit union select root, i.dst, depth + 1 from walk join inherit i on i.src = walk.id)
     select root, id, min(depth) as depth from walk where id <> root group by all""",
 )
 def ancestors_bfs(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.mro import ancestors
 
     e = inherit_edges(spark, d)
-    roots = e.filter("src % 50 = 7").select(F.col("src").alias("id")).distinct()
+    roots = e.select(F.col("src").alias("id")).distinct()
     return ancestors(e, roots).select("root", "id", "depth")
 
 
@@ -308,11 +308,11 @@ def toposort_levels(spark: SparkSession, d: str) -> DataFrame:
     return T.levels(inherit_edges(spark, d), part_nodes(spark, d).select("id"))
 
 
-_WEAK = f"{FLOW}, f as (select src, dst from flow where confidence >= 1.0 and src % 7 = 0 and dst % 3 = 0)"
+_WEAK = f"{FLOW}, f as (select src, dst from flow where confidence >= 1.0)"
 
 
 def _weak(spark: SparkSession, d: str) -> DataFrame:
-    return flow_edges(spark, d).filter("confidence >= 1.0 and src % 7 = 0 and dst % 3 = 0")
+    return flow_edges(spark, d).filter("confidence >= 1.0")
 
 
 @query(
@@ -328,16 +328,16 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "process_traces",
     f"""{FLOW}, few as (select src, dst from (select src, dst, row_number() over (partition by src order by confidence desc, dst) as r from flow) where r <= 2),
-    entries as (select p_partkey as id from part where p_partkey % 97 = 5),
+    entries as (select p_partkey as id from part),
     walk(entry, path) as (
       select id, [id] from entries
-      union all select entry, list_append(path, dst) from walk join few on src = path[-1] where len(path) < 5 and not list_contains(path, dst)),
+      union all select entry, list_append(path, dst) from walk join few on src = path[-1] where len(path) < 4 and not list_contains(path, dst)),
     ended as (
-      select entry, path from walk where len(path) = 5 or not exists (select 1 from few where src = path[-1] and not list_contains(path, dst)))
+      select entry, path from walk where len(path) = 4 or not exists (select 1 from few where src = path[-1] and not list_contains(path, dst)))
     select entry, array_to_string(path, '>') as path from ended where len(path) >= 3""",
 )
 def process_traces(spark: SparkSession, d: str) -> DataFrame:
     e = flow_edges(spark, d).select("src", "dst", (-F.col("confidence")).alias("rank"))
-    entries = part_nodes(spark, d).filter("id % 97 = 5").select("id")
-    t = T.traces(e, entries, branch=2, depth=5, per_entry=None)
+    entries = part_nodes(spark, d).select("id")
+    t = T.traces(e, entries, branch=2, depth=4, per_entry=None)
     return t.select("entry", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
