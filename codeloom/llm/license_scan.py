@@ -83,9 +83,10 @@ def _lowered(text: str) -> Column:
     return F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+def template_table(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, list[tuple[int, int, int, list[str]]]]:
     """Templates with their shingles and window length; the lengths as
-    (window, step, bands), the most bands that any template of it needs."""
+    (window, step, bands, anchors), with the most bands and all the anchors
+    that any template of it needs."""
     rows, kinds = [], {}
     for name, text in templates.items():
         s, n = template_shingles(text), len(words_of(text))
@@ -93,7 +94,8 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> tuple[Data
             continue
         window, step = max(WIDTH, ceil(1.5 * n)), max(1, n // 2)
         bands = ceil(log(MISS) / log(1 - _floor(len(s), window, CONTAINMENT) + 1e-12))
-        kinds[window] = (window, min(step, kinds.get(window, (0, step))[1]), max(bands, kinds.get(window, (0, 0, 0))[2]))
+        old = kinds.get(window, (0, step, bands, []))
+        kinds[window] = (window, min(step, old[1]), max(bands, old[2]), sorted({*old[3], *anchors(text)}))
         rows.append((name, window, s))
     return spark.createDataFrame(rows, "license string, window int, needed array<string>"), list(kinds.values())
 
@@ -116,19 +118,21 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     kept = docs.select("doc_id", "text").filter(F.col("text").rlike(r"(?i)(?<![a-z0-9])(?:" + "|".join(pieces) + r")(?![a-z0-9])"))
     kept = kept.select("doc_id", F.regexp_extract_all(_lowered("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w")).filter(F.size("w") > 0)
 
-    def windows(window: int, step: int) -> Column:
+    def windows(window: int, step: int, words: list[str]) -> Column:
+        """Windows with one of the anchors; the others can't match."""
         last = F.greatest(F.lit(0), F.size("w") - F.lit(max(1, window - step)))
-        return F.transform(
+        all_ = F.transform(
             F.sequence(F.lit(0), last, F.lit(step)),
             lambda i: F.struct(i.alias("first"), F.lit(window).alias("window"), F.slice("w", i + 1, window).alias("part")),
         )
+        return F.filter(all_, lambda x: F.arrays_overlap(x["part"], F.array(*(F.lit(a) for a in words))))
 
-    spread = kept.select("doc_id", F.explode(F.concat(*(windows(w, s) for w, s, _ in kinds))).alias("x")).select("doc_id", "x.first", "x.window", "x.part")
+    spread = kept.select("doc_id", F.explode(F.concat(*(windows(w, s, a) for w, s, _, a in kinds))).alias("x")).select("doc_id", "x.first", "x.window", "x.part")
     shingles = F.array_distinct(
         F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("part") - WIDTH + 1)), lambda i: F.array_join(F.slice("part", i, WIDTH), " "))
     )
     spread = spread.withColumn("held", shingles)
-    most = max(b for _, _, b in kinds)
+    most = max(b for _, _, b, _ in kinds)
 
     def bands(shingle_col: str) -> Column:
         hashed = F.transform(shingle_col, lambda s: F.xxhash64(s))
