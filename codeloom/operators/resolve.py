@@ -222,3 +222,41 @@ def synthesize_wildcards(imports: DataFrame, symbols: DataFrame, named: DataFram
     fresh = e.join(s, "source").join(named.select("file", F.col("local").alias("name")), ["file", "name"], "left_anti")
     n = F.row_number().over(W.partitionBy("file").orderBy("source", "name"))
     return fresh.withColumn("_n", n).filter(F.col("_n") <= most).select("file", F.col("name").alias("local"), "source", F.col("name").alias("exported"))
+
+
+def import_edges(imports: DataFrame) -> DataFrame:
+    """(src, dst, confidence) of imports (src, dst, glob): 1.0, of a glob 0.5;
+    a file doesn't import itself."""
+    e = imports.filter("src <> dst").groupBy("src", "dst").agg(F.max(F.when(F.col("glob"), 0.5).otherwise(1.0)).alias("confidence"))
+    return e.select("src", "dst", "confidence")
+
+
+def propagate_across_files(known: DataFrame, pending: DataFrame, returns: DataFrame, fields: DataFrame, imports: DataFrame, levels: DataFrame, most_levels: int = 50) -> DataFrame:
+    """Types across files: files of one import level (file, level) at a time,
+    the lowest first; imported variables (file, local, source, exported) take
+    the types that their files have by then. Scopes are file names."""
+    have = known
+    top = levels.agg(F.max("level")).first()[0] or 0
+    for level in range(0, min(top, most_levels) + 1):
+        here = levels.filter(F.col("level") == level).select(F.col("file").alias("scope"))
+        bound = imports.select("file", "local", F.col("source").alias("scope"), F.col("exported").alias("var")).join(have, ["scope", "var"])
+        seeds = bound.select(F.col("file").alias("scope"), F.col("local").alias("var"), "type").join(here, "scope", "left_semi")
+        fresh = seeds.join(have.select("scope", "var"), ["scope", "var"], "left_anti").dropDuplicates(["scope", "var"])
+        start = have.unionByName(fresh)
+        have = propagate_types(start, pending.join(here, "scope", "left_semi"), returns, fields)
+    return have
+
+
+def ruby_calls(calls: DataFrame) -> DataFrame:
+    """Ruby calls (file, owner, name, args array): what each one means, as
+    (file, owner, kind, target): require is an import, include and its like are
+    heritage, attr_* make properties."""
+    kind = (
+        F.when(F.col("name").isin("require", "require_relative", "load"), "import")
+        .when(F.col("name").isin("extend", "include", "prepend"), "heritage")
+        .when(F.col("name").isin("attr_accessor", "attr_reader", "attr_writer"), "property")
+        .otherwise("call")
+    )
+    marked = calls.withColumn("kind", kind)
+    spread = marked.select("file", "owner", "kind", F.explode(F.when(F.col("kind") == "call", F.array("name")).otherwise(F.transform("args", lambda a: F.regexp_replace(a, "^[:'\"]+|['\"]$", "")))).alias("target"))
+    return spread

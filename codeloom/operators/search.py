@@ -141,3 +141,41 @@ def embed(texts: DataFrame, key: str, text: str, dim: int = 384, embedder=None)
 
     kind = texts.schema[key].dataType.simpleString()
     return texts.select(key, text).mapInPandas(batches, f"{key} {kind}, embedding array<float>")
+
+
+def hybrid(docs: DataFrame, vectors: DataFrame, text: str, probe: list[float] | None, mode: str = "hybrid", limit: int = 10, id_col: str = "id") -> DataFrame:
+    """(id, score, sources, rank): by words, by vector, or both fused.
+
+    docs: id, text; vectors: id, embedding. The limit is 1 to 100; each list
+    is fetched to twice the limit before it is fused.
+    """
+    limit = max(1, min(100, limit))
+    if mode not in ("hybrid", "semantic", "bm25"):
+        raise ValueError(f"no mode {mode}")
+    kw = ranked(bm25(docs, "text", text, [id_col]), [id_col], 2 * limit)
+    if mode == "bm25" or probe is None:
+        return kw.filter(F.col("rank") <= limit).select(id_col, "score", F.lit("bm25").alias("sources"), "rank")
+    near = vector_topk(vectors, probe, id_col, "embedding", 2 * limit).select(id_col, (1 - F.col("distance")).alias("score"))
+    sem = ranked(near, [id_col], 2 * limit)
+    if mode == "semantic":
+        return sem.filter(F.col("rank") <= limit).select(id_col, "score", F.lit("semantic").alias("sources"), "rank")
+    return rrf(kw, sem, id_col, limit)
+
+
+def augment(hits: DataFrame, nodes: DataFrame, edges: DataFrame, cohesion: DataFrame, word: str, files: int = 5, most: int = 3) -> DataFrame:
+    """(id, callers, callees, cohesion): symbols of the best files whose name
+    holds a word, with up to three callers and callees, tightest cluster first.
+
+    hits: filePath, score; cohesion: id, cohesion.
+    """
+    best = hits.orderBy(F.desc("score"), "filePath").limit(files)
+    some = nodes.filter(F.contains(F.lower("name"), F.lit(word.lower()))).join(F.broadcast(best.select("filePath")), "filePath", "left_semi").select("id")  # at most ``files`` rows
+    side = lambda a, b, n: edges.select(F.col(a).alias("id"), F.col(b).alias("o")).join(some, "id", "left_semi").groupBy("id").agg(F.slice(F.sort_array(F.collect_set("o")), 1, most).alias(n))
+    return some.join(side("dst", "src", "callers"), "id", "left").join(side("src", "dst", "callees"), "id", "left").join(cohesion, "id", "left").orderBy(F.desc("cohesion"), "id")
+
+
+def register_search(spark, docs: DataFrame, vectors: DataFrame, id_col: str = "id") -> None:
+    """Views over an index for SQL: ``search_postings`` (term, id, tf, dl) and
+    ``search_vectors`` (id, embedding)."""
+    postings(docs, "text", id_col).createOrReplaceTempView("search_postings")
+    vectors.createOrReplaceTempView("search_vectors")

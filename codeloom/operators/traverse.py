@@ -115,3 +115,39 @@ def traces(edges: DataFrame, entries: DataFrame, branch: int = TRACE_BRANCH, dep
         n = F.row_number().over(W.partitionBy("entry").orderBy(F.size("path"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">")))
         done = done.withColumn("_n", n).filter(F.col("_n") <= per_entry).drop("_n")
     return done
+
+
+def reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """(root, id, depth): breadth-first search from every root at once."""
+    e = checkpoint(edges.select(F.col("src").alias("at"), F.col("dst").alias("id")).distinct())
+    front = roots.select(F.col("id").alias("root"), "id").distinct()
+    seen = front.withColumn("depth", F.lit(0))
+    for depth in range(1, max_depth + 1):
+        step = front.withColumnRenamed("id", "at").join(e, "at").select("root", "id").distinct()
+        front = checkpoint(step.join(seen.select("root", "id"), ["root", "id"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front.withColumn("depth", F.lit(depth)))
+    return seen
+
+
+def entry_flags(nodes: DataFrame, calls: DataFrame) -> DataFrame:
+    """(id, entry) of functions: 1.0 without a caller or named main, else 0.0."""
+    called = calls.select(F.col("dst").alias("id")).distinct().withColumn("_c", F.lit(True))
+    n = nodes.filter("label = 'Function'").join(called, "id", "left")
+    return n.select("id", F.when(F.col("_c").isNull() | (F.col("name") == "main"), 1.0).otherwise(0.0).alias("entry"))
+
+
+def hop_impact(edges: DataFrame, target: DataFrame, direction: str = "in", depth: int = 3, limits: tuple[int, ...] = (300, 200, 100)) -> DataFrame:
+    """(hop, id, confidence): ends of paths of 1 to 3 edges, each hop limited
+    by confidence (the least on a path; the best path of an end counts)."""
+    a, b = ("dst", "src") if direction == "in" else ("src", "dst")
+    e = edges.select(F.col(a).alias("at"), F.col(b).alias("to"), "confidence")
+    paths = target.select(F.col("id").alias("at"), F.lit(1.0).alias("c"))
+    out = None
+    for hop in range(1, min(depth, len(limits)) + 1):
+        paths = paths.join(e, "at").select(F.col("to").alias("at"), F.least("c", "confidence").alias("c")).groupBy("at").agg(F.max("c").alias("c"))
+        part = paths.join(target.select(F.col("id").alias("at")), "at", "left_anti").orderBy(F.desc("c"), "at").limit(limits[hop - 1])
+        part = part.select(F.lit(hop).alias("hop"), F.col("at").alias("id"), F.col("c").alias("confidence"))
+        out = part if out is None else out.unionByName(part)
+    return out
