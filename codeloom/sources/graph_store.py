@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import csv_field, csv_number
 from ..operators.graph import PropertyGraph, first_by
@@ -43,7 +44,11 @@ class GraphStore:
         if meta is None:
             raise FileNotFoundError(f"no graph at {self.path}")
         base = f"{self.path}/v{meta['version']}"
-        return PropertyGraph(self.spark.read.parquet(f"{base}/nodes"), self.spark.read.parquet(f"{base}/edges"))
+        return PropertyGraph(self._load(f"{base}/nodes", meta["nodes"]), self._load(f"{base}/edges", meta["edges"]))
+
+    def _load(self, path: str, schema: dict) -> DataFrame:
+        """With its schema given: empty tables and labels like numbers stay right."""
+        return self.spark.read.schema(T.StructType.fromJson(schema)).parquet(path)
 
     def write(self, graph: PropertyGraph, commit: str = "", first_wins: str | None = None) -> dict:
         """A new version. With ``first_wins`` (an order column), only the first
@@ -53,13 +58,14 @@ class GraphStore:
         base = f"{self.path}/v{version}"
         nodes = graph.nodes if first_wins is None else first_by(graph.nodes, ["id"], first_wins)
         nodes.write.partitionBy("label").parquet(f"{base}/nodes")
-        nodes = self.spark.read.parquet(f"{base}/nodes")
+        kinds = {"nodes": nodes.schema.jsonValue(), "edges": graph.edges.schema.jsonValue()}
+        nodes = self._load(f"{base}/nodes", kinds["nodes"])
         ids = nodes.select("id").distinct()
         good = graph.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
         good.select(*graph.edges.columns).write.partitionBy("type").parquet(f"{base}/edges")
         PropertyGraph(nodes, graph.edges).orphans().write.parquet(f"{base}/rejected")
-        edges = self.spark.read.parquet(f"{base}/edges")
-        meta = {"version": version, "lastCommit": commit, "stats": {"nodes": nodes.count(), "edges": edges.count()}}
+        edges = self._load(f"{base}/edges", kinds["edges"])
+        meta = {"version": version, "lastCommit": commit, "stats": {"nodes": nodes.count(), "edges": edges.count()}, **kinds}
         self._point(meta)
         return meta
 

@@ -116,7 +116,7 @@ def test_cypher(spark, graph):
     assert q("MATCH (a {name: 'main'})-[:CALLS*1..2]->(b) RETURN b.name AS b ORDER BY b") == [("deep",), ("helper",), ("open",)]
     assert q("MATCH (a:Function) WITH a WHERE a.name STARTS WITH 'h' MATCH (a)-[:CALLS]->(b) RETURN a.name, b.name") == [("helper", "deep")]
     assert "| name |" in markdown(run(graph, "MATCH (n:Class) RETURN n.name AS name"))
-    for bad in ("CREATE (n)", "MATCH (n) SET n.x = 1 RETURN n", "MATCH (n) RETURN n.x FROM", "MATCH (n RETURN n"):
+    for bad in ("CREATE (n)", "MATCH (n) SET n.x = 1 RETURN n", "MATCH (n) RETURN n.name FROM", "MATCH (n RETURN n"):
         with pytest.raises(CypherError):
             run(graph, bad)
     assert q("MATCH (n:Class) WHERE n.name = 'set' RETURN n.name") == []
