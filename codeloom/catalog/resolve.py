@@ -103,12 +103,12 @@ def package_dir(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TREE = """files as (
-  select distinct 'svc' || (p_size % 5) || '/' || lower(p_type) || '/' || ['package.json', 'go.mod', 'Dockerfile', 'main.go', 'x/util.go'][p_partkey % 5 + 1] as file from part
+  select distinct 'svc' || (p_size % 5) || '/' || lower(p_type) || '/' || ['Dockerfile', 'go.mod', 'package.json', 'x/util.go', 'main.go'][p_partkey % 5 + 1] as file from part
   where p_partkey % 5 >= 3 or p_size % 5 < 2)"""
 
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
-    name = F.element_at(F.array(*(F.lit(x) for x in ("package.json", "go.mod", "Dockerfile", "main.go", "x/util.go"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    name = F.element_at(F.array(*(F.lit(x) for x in ("Dockerfile", "go.mod", "package.json", "x/util.go", "main.go"))), (F.col("p_partkey") % 5 + 1).cast("int"))
     p = table(spark, d, "part").filter("p_partkey % 5 >= 3 or p_size % 5 < 2")
     return p.select(F.concat(F.lit("svc"), F.col("p_size") % 5, F.lit("/"), F.lower("p_type"), F.lit("/"), name).alias("file")).distinct()
 

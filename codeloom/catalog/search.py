@@ -25,7 +25,7 @@ def _bm25_sql(source: str, key: str, extra: str = "", where: str = "true", tag:
     tfs{tag} as (select {key}{more}, i, len(w) as dl, len(list_filter(w, lambda x: x = t)) as tf from toks{tag}, terms{tag}),
     dfs{tag} as (select i, count(*) filter (tf > 0) as df from tfs{tag} group by i),
     hits{tag} as (
-      select {key}{more}, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score
+      select {key}{more}, sum(ln(1 + (n - df + 0.5) / (0.5 + df)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score
       from tfs{tag} join dfs{tag} using (i), stats{tag} group by all having sum(tf) > 0)"""
 
 

@@ -76,7 +76,7 @@ def cobol_rows(path: str, text: str) -> list[dict]:
             rows.append(_row(path, "import", m[1], target=m[1], line=n, extra="copy"))
         if division == "DATA":
             if m := re.match(rf"\s*(\d\d)\s+({_NAME})\b(.*)", up):
-                pic = re.search(r"\bPIC(?:TURE)?\s+(?:IS\s+)?(\S+?)\.?(?:\s|$)", m[3])
+                pic = re.search(r"\bPIC(?:TURE)?(?:\s+IS)?\s+(\S+?)\.?(?:\s|$)", m[3])
                 rows.append(_row(path, "def", m[2], owner=program, line=n, label="Property", exported=False, extra=f"{m[1]} {pic[1]}" if pic else m[1]))
             if m := re.match(rf"\s*[FS]D\s+({_NAME})", up):
                 rows.append(_row(path, "def", m[1], owner=program, line=n, label="CodeElement", exported=False, extra="file"))
@@ -93,7 +93,7 @@ def cobol_rows(path: str, text: str) -> list[dict]:
             rows.append(_row(path, "call", m[1], owner=at, line=n, extra="program"))
         for m in re.finditer(rf"\bCALL\s+({_NAME})", up):
             rows.append(_row(path, "call", m[1], owner=at, line=n, extra="dynamic"))
-        for m in re.finditer(rf"\bPERFORM\s+({_NAME})(?:\s+(?:THRU|THROUGH)\s+({_NAME}))?", up):
+        for m in re.finditer(rf"\bPERFORM\s+({_NAME})(?:\s+THR(?:OUGH|U)\s+({_NAME}))?", up):
             if m[1] not in ("UNTIL", "VARYING", "TIMES", "WITH"):
                 rows.append(_row(path, "call", m[1], owner=at, line=n, target=m[2], extra="perform"))
         for m in re.finditer(rf"\bGO\s+TO\s+({_NAME})", up):

@@ -125,12 +125,14 @@ DEFINITIONS["typescript"] = DEFINITIONS["vue"] = DEFINITIONS["javascript"]
 DEFINITIONS["csharp"] = DEFINITIONS["java"]
 DEFINITIONS["cpp"] = DEFINITIONS["c"]
 IMPORTS = {
-    "javascript": [r"""import\s+(?:[^'"]*?from\s+)?['"]([^'"]+)['"]""", r"""require\(\s*['"]([^'"]+)['"]\s*\)"""],
+    "javascript": [r"""import\s+(?:[^'"]*?from\s+)?<S>""", r"""require\(\s*<S>\s*\)"""],
     "java": [r"^\s*import\s+(?:static\s+)?([\w.*]+)"], "kotlin": [r"^\s*import\s+([\w.*]+)"], "csharp": [r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;"],
     "go": [r'^\s*(?:import\s+)?(?:\w+\s+)?"([\w./-]+)"'], "rust": [r"^\s*(?:pub\s+)?use\s+([^;]+);", r"^\s*(?:pub\s+)?mod\s+(\w+)\s*;"],
-    "ruby": [r"""^\s*require(?:_relative)?\s+['"]([^'"]+)['"]"""], "php": [r"^\s*use\s+([\w\\]+)", r"""(?:require|include)(?:_once)?\s*\(?\s*['"]([^'"]+)['"]"""],
-    "c": [r'^\s*#include\s*[<"]([^>"]+)[>"]'], "swift": [r"^\s*import\s+(\w+)"], "dart": [r"""^\s*import\s+['"]([^'"]+)['"]"""],
+    "ruby": [r"""^\s*require(?:_relative)?\s+<S>"""], "php": [r"^\s*use\s+([\w\\]+)", r"""(?:require|include)(?:_once)?\s*\(?\s*<S>"""],
+    "c": [r'^\s*#include\s*[<"]([^>"]+)[>"]'], "swift": [r"^\s*import\s+(\w+)"], "dart": [r"""^\s*import\s+<S>"""],
 }
+_MARKS = "[\"']"
+IMPORTS = {k: [p.replace("<S>", _MARKS + "([^\"']+)" + _MARKS) for p in v] for k, v in IMPORTS.items()}
 IMPORTS |= {"typescript": IMPORTS["javascript"], "vue": IMPORTS["javascript"], "cpp": IMPORTS["c"]}
 _CALL = re.compile(rf"(?:({_W})\s*(?:\.|->|::)\s*)?({_W})\s*\(")
 _KEYWORDS = frozenset("if for while switch catch return function sizeof typeof await new super constructor elif unless until fn func def fun class match in not and or else do try with".split())

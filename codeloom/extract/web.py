@@ -17,8 +17,20 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 
+_MARKS = "[\"']"
+_QUOTED = {"<S>": _MARKS + "([^\"']+)" + _MARKS, "<E>": _MARKS + "([^\"']*)" + _MARKS, "<W>": _MARKS + "(\\w+)" + _MARKS}
+
+
+def _re(pattern: str) -> str:
+    """A pattern with <S>, <E>, <W> spelt out: a quoted string, one that may be
+    empty, a quoted word; each is a group."""
+    for short, long in _QUOTED.items():
+        pattern = pattern.replace(short, long)
+    return pattern
+
+
 def _all(content: str, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(F.col(content), F.lit(pattern), F.lit(group))
+    return F.regexp_extract_all(F.col(content), F.lit(_re(pattern)), F.lit(group))
 
 
 def fetch_calls(files: DataFrame, content: str = "content") -> DataFrame:
@@ -32,8 +44,8 @@ def fetch_calls(files: DataFrame, content: str = "content") -> DataFrame:
 def accessed_keys(content: str = "content") -> Column:
     """Keys read of a response: data.x, { x } = await r.json(), result['x']."""
     dotted = _all(content, r"\b(?:data|result|response|json|body|payload)\??\.([A-Za-z_]\w*)")
-    index = _all(content, r"""\b(?:data|result|response|json|body|payload)\[['"](\w+)['"]\]""")
-    destructured = F.flatten(F.transform(_all(content, r"(?:const|let|var)\s*\{([^}]+)\}\s*=\s*await\s+\w+\.json\(\)"), lambda g: F.transform(F.split(g, ","), lambda k: F.trim(F.element_at(F.split(k, ":"), 1)))))
+    index = _all(content, r"""\b(?:data|result|response|json|body|payload)\[<W>\]""")
+    destructured = F.flatten(F.transform(_all(content, r"(?:const|let|var)\s*\{([^{}]*)\}\s*=\s*await\s+\w+\.json\(\)"), lambda g: F.transform(F.split(g, ","), lambda k: F.trim(F.element_at(F.split(k, ":"), 1)))))
     own = ["json", "then", "catch", "map", "filter", "length", "forEach", "ok", "status", "headers", "text", "find", "reduce", "push", "join", "slice", "some", "every"]
     return F.array_sort(F.array_distinct(F.filter(F.concat(dotted, index, destructured), lambda k: (k != "") & ~k.isin(*own))))
 
@@ -43,10 +55,10 @@ def orm_calls(files: DataFrame, content: str = "content") -> DataFrame:
     def found(orm: str, pattern: str) -> DataFrame:
         hit = F.explode(_all(content, pattern, 0)).alias("hit")
         x = files.select("file", hit)
-        return x.select("file", F.lit(orm).alias("orm"), F.regexp_extract("hit", pattern, 1).alias("model"), F.regexp_extract("hit", pattern, 2).alias("method"))
+        return x.select("file", F.lit(orm).alias("orm"), F.regexp_extract("hit", _re(pattern), 1).alias("model"), F.regexp_extract("hit", _re(pattern), 2).alias("method"))
 
     prisma = found("prisma", r"\bprisma\.(\w+)\.(find\w*|create\w*|update\w*|delete\w*|upsert|count|aggregate|groupBy)\s*\(")
-    supabase = found("supabase", r"""\bsupabase(?:\.\w+)*\.from\(\s*['"](\w+)['"]\s*\)\s*\.(select|insert|update|delete|upsert)\s*\(""")
+    supabase = found("supabase", r"""\bsupabase(?:\.\w+)*\.from\(\s*<W>\s*\)\s*\.(delete|insert|select|update|upsert)\s*\(""")
     return prisma.unionByName(supabase).distinct()
 
 
@@ -55,21 +67,21 @@ def tool_definitions(files: DataFrame, content: str = "content") -> DataFrame:
     hold input schemas; the first file of a name wins."""
     pattern = r"""name:\s*['"]([\w-]+)['"]\s*,\s*description:\s*(?:\n\s*)?[`'"]([^`'"]*)"""
     x = files.filter(F.lower("file").contains("tool") & F.col(content).contains("inputSchema")).select("file", F.explode(_all(content, pattern, 0)).alias("hit"))
-    x = x.select("file", F.regexp_extract("hit", pattern, 1).alias("name"), F.left(F.regexp_extract("hit", pattern, 2), F.lit(200)).alias("description"))
+    x = x.select("file", F.regexp_extract("hit", _re(pattern), 1).alias("name"), F.left(F.regexp_extract("hit", _re(pattern), 2), F.lit(200)).alias("description"))
     return x.groupBy("name").agg(F.min_by("description", "file").alias("description"), F.min("file").alias("file")).select("file", "name", "description")
 
 
 TOPICS = (
-    ("kafka", "producer", r"""\.send\(\s*\{\s*topic:\s*['"]([^'"]+)['"]"""),
-    ("kafka", "consumer", r"""\.subscribe\(\s*\{\s*topics?:\s*\[?\s*['"]([^'"]+)['"]"""),
+    ("kafka", "producer", r"""\.send\(\s*\{\s*topic:\s*<S>"""),
+    ("kafka", "consumer", r"""\.subscribe\(\s*\{\s*topics?:\s*\[?\s*<S>"""),
     ("kafka", "consumer", r"""@KafkaListener\([^)]*topics\s*=\s*\{?\s*"([^"]+)\""""),
-    ("kafka", "producer", r"""(?:kafkaTemplate|producer)\.send\(\s*['"]([^'"]+)['"]"""),
-    ("kafka", "consumer", r"""KafkaConsumer\(\s*['"]([^'"]+)['"]"""),
-    ("rabbitmq", "producer", r"""\.(?:sendToQueue|publish|basic_publish)\(\s*(?:exchange=)?['"]([^'"]+)['"]"""),
-    ("rabbitmq", "consumer", r"""\.(?:consume|basic_consume)\(\s*(?:queue=)?['"]([^'"]+)['"]"""),
+    ("kafka", "producer", r"""(?:kafkaTemplate|producer)\.send\(\s*<S>"""),
+    ("kafka", "consumer", r"""KafkaConsumer\(\s*<S>"""),
+    ("rabbitmq", "producer", r"""\.(?:sendToQueue|publish|basic_publish)\(\s*(?:exchange=)?<S>"""),
+    ("rabbitmq", "consumer", r"""\.(?:consume|basic_consume)\(\s*(?:queue=)?<S>"""),
     ("rabbitmq", "consumer", r"""@RabbitListener\([^)]*queues\s*=\s*\{?\s*"([^"]+)\""""),
-    ("nats", "producer", r"""\bn(?:c|ats)\.[Pp]ublish\(\s*['"]([^'"]+)['"]"""),
-    ("nats", "consumer", r"""\bn(?:c|ats)\.[Ss]ubscribe\(\s*['"]([^'"]+)['"]"""),
+    ("nats", "producer", r"""\bn(?:c|ats)\.[Pp]ublish\(\s*<S>"""),
+    ("nats", "consumer", r"""\bn(?:c|ats)\.[Ss]ubscribe\(\s*<S>"""),
 )
 
 
@@ -87,15 +99,15 @@ def grpc_rows(path: str, text: str) -> list[tuple[str, str, str]]:
     """(contractId, role, name) of .proto services and of stubs in code."""
     out = []
     if path.endswith(".proto"):
-        package = re.search(r"^\s*package\s+([\w.]+)\s*;", text, re.MULTILINE)
+        package = re.search(r"^[ \t]*package\s+([\w.]+)", text, re.MULTILINE)
         for m in re.finditer(r"\bservice\s+(\w+)\s*\{(.*?)\n\}", text, re.DOTALL):
             full = f"{package[1]}.{m[1]}" if package else m[1]
             out += [(f"grpc::{full.lower()}/{r}", "provider", r) for r in re.findall(r"\brpc\s+(\w+)\s*\(", m[2])]
     for pattern, role in (
         (r"\bRegister(\w+)Server\(", "provider"), (r"\bNew(\w+)Client\(", "consumer"), (r"\bextends\s+(\w+)Grpc\.\w+ImplBase", "provider"), (r"\b(\w+)Grpc\.new\w*Stub\(", "consumer"),
-        (r"\badd_(\w+)Servicer_to_server\(", "provider"), (r"\b\w+_pb2_grpc\.(\w+)Stub\(", "consumer"), (r"@GrpcMethod\(\s*['\"](\w+)['\"]", "provider"), (r"\.getService<\w+>\(\s*['\"](\w+)['\"]", "consumer"),
+        (r"\badd_(\w+)Servicer_to_server\(", "provider"), (r"\b\w+_pb2_grpc\.(\w+)Stub\(", "consumer"), (r"@GrpcMethod\(\s*<W>", "provider"), (r"\.getService<\w+>\(\s*<W>", "consumer"),
     ):
-        out += [(f"grpc::{m.lower()}", role, m) for m in re.findall(pattern, text)]
+        out += [(f"grpc::{m.lower()}", role, m) for m in re.findall(_re(pattern), text)]
     return list(dict.fromkeys(out))
 
 
@@ -136,7 +148,7 @@ def response_shapes(text: str) -> tuple[list[str], list[str]]:
         status = int(m[1]) if m[1] else int(s[1]) if (s := re.match(r"[^;)]*?status\s*:\s*(\d+)", after)) else 200
         (bad if status >= 400 else good).extend(top_keys(body))
     for m in re.finditer(r"json_encode\(\s*\[(.*?)\]\s*\)", text, re.DOTALL):
-        keys = re.findall(r"['\"](\w+)['\"]\s*=>", m[1])
+        keys = re.findall(_re(r"<W>\s*=>"), m[1])
         code = re.findall(r"http_response_code\((\d+)\)", text[: m.start()])
         (bad if code and int(code[-1]) >= 400 else good).extend(keys)
     return list(dict.fromkeys(good)), list(dict.fromkeys(bad))
@@ -158,7 +170,7 @@ def laravel_routes(text: str) -> list[tuple[str, str, str]]:
 
     def walk(part: str, prefix: str) -> None:
         at = 0
-        for m in re.finditer(r"Route::(?:middleware\([^)]*\)\s*->\s*)?prefix\(\s*['\"]([^'\"]*)['\"]\s*\)[^;{]*?->group\(", part):
+        for m in re.finditer(_re(r"Route::(?:middleware\([^)]*\)\s*->\s*)?prefix\(\s*<E>\s*\)[^;{]*?->group\("), part):
             if m.start() < at:
                 continue
             body = _block(part, m.end())
@@ -169,9 +181,9 @@ def laravel_routes(text: str) -> list[tuple[str, str, str]]:
 
     def single(part: str, prefix: str) -> None:
         join = lambda p: "/" + "/".join(x for x in f"{prefix}/{p}".split("/") if x)
-        for m in re.finditer(r"Route::(get|post|put|patch|delete|any)\(\s*['\"]([^'\"]*)['\"]\s*,\s*(\[?[^)]*)", part):
+        for m in re.finditer(_re(r"Route::(get|post|put|patch|delete|any)\(\s*<E>\s*,\s*(\[?[^)]*)"), part):
             out.append((m[1].upper(), join(m[2]), m[3].strip()))
-        for m in re.finditer(r"Route::(?:api)?[Rr]esource\(\s*['\"]([^'\"]*)['\"]\s*,\s*(\w+)", part):
+        for m in re.finditer(_re(r"Route::(?:api)?[Rr]esource\(\s*<E>\s*,\s*(\w+)"), part):
             one = join(m[1]) + "/{" + m[1].rstrip("s").split("/")[-1] + "}"
             out.extend([("GET", join(m[1]), f"{m[2]}@index"), ("POST", join(m[1]), f"{m[2]}@store"), ("GET", one, f"{m[2]}@show"), ("PUT", one, f"{m[2]}@update"), ("DELETE", one, f"{m[2]}@destroy")])
 
@@ -181,8 +193,8 @@ def laravel_routes(text: str) -> list[tuple[str, str, str]]:
 
 def decorator_routes(text: str) -> list[tuple[str, str]]:
     """(method, path) of route decorators and annotations."""
-    out = [(m[1].upper(), m[2]) for m in re.finditer(r"@\w*\.?(get|post|put|patch|delete)\(\s*['\"]([^'\"]*)['\"]", text, re.IGNORECASE)]
-    out += [("GET" if not m[2] else m[2].upper(), m[1]) for m in re.finditer(r"@\w+\.route\(\s*['\"]([^'\"]+)['\"](?:[^)]*methods\s*=\s*\[\s*['\"](\w+)['\"])?", text)]
+    out = [(m[1].upper(), m[2]) for m in re.finditer(_re(r"@\w*\.?(get|post|put|patch|delete)\(\s*<E>"), text, re.IGNORECASE)]
+    out += [("GET" if not m[2] else m[2].upper(), m[1]) for m in re.finditer(_re(r"@\w+\.route\(\s*<S>(?:[^)]*methods\s*=\s*\[\s*<W>)?"), text)]
     out += [(m[1].upper(), m[2]) for m in re.finditer(r"@(Get|Post|Put|Patch|Delete)Mapping\(\s*(?:value\s*=\s*)?\"([^\"]*)\"", text)]
     return list(dict.fromkeys(out))
 

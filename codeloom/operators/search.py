@@ -31,7 +31,7 @@ def query_terms(text: str) -> list[str]:
 
 
 def _idf(n: Column | int, df: Column) -> Column:
-    return F.log((F.lit(n) - df + 0.5) / (df + 0.5) + 1)
+    return F.log(1 + (F.lit(n) - df + 0.5) / (0.5 + df))
 
 
 def bm25(docs: DataFrame, text: Column | str, query: str, keys: list[str]) -> DataFrame:

@@ -111,10 +111,10 @@ def test_cypher(spark, graph):
     assert q("MATCH (n) WHERE n.label IN ['Class', 'Method'] AND NOT n.name = 'open' RETURN n.name") == [("Box",)]
     assert q("MATCH (n:Function) WHERE n.name =~ '.*e.*' RETURN count(*) AS n") == [(3,)]
     assert q("MATCH (a {name: $n})<-[:CALLS]-(b) RETURN b.name AS b ORDER BY b", n="deep") == [("helper",), ("test_it",)]
-    assert q("MATCH (a)-[:CALLS]->(b), (c:Class)-[:HAS_METHOD]->(b) RETURN a.name, b.name") == [("main", "open")]
+    assert q("MATCH (x)-[:CALLS]->(m), (c:Class)-[:HAS_METHOD]->(m) RETURN x.name, m.name") == [("main", "open")]
     assert q("MATCH (a:Function) OPTIONAL MATCH (a)-[r:CALLS]->(b) RETURN a.name AS a, count(b) AS n ORDER BY n DESC, a LIMIT 1") == [("main", 2)]
     assert q("MATCH (a {name: 'main'})-[:CALLS*1..2]->(b) RETURN b.name AS b ORDER BY b") == [("deep",), ("helper",), ("open",)]
-    assert q("MATCH (a:Function) WITH a WHERE a.name STARTS WITH 'h' MATCH (a)-[:CALLS]->(b) RETURN a.name, b.name") == [("helper", "deep")]
+    assert q("MATCH (a:Function) WITH a WHERE a.name STARTS WITH 'h' MATCH (a)-[:CALLS]->(z) RETURN a.name, z.name") == [("helper", "deep")]
     assert "| name |" in markdown(run(graph, "MATCH (n:Class) RETURN n.name AS name"))
     for bad in ("CREATE (n)", "MATCH (n) SET n.x = 1 RETURN n", "MATCH (n) RETURN n.name FROM", "MATCH (n RETURN n"):
         with pytest.raises(CypherError):
