@@ -31,7 +31,7 @@ DIM, HIDDEN = 16, 8
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 14
 #: Labelled documents of each class that are learned from, at most, and the
 #: longest text among them in characters. Both bound the driver's memory.
-SAMPLE, SAMPLE_CHARS = 1500, 200_000
+SAMPLE, SAMPLE_CHARS = 1200, 200_000
 #: Words whose input vectors a scoring task remembers.
 MEMO = 250_000
 EPOCHS, BATCH, RATE = 10, 256, 0.01
