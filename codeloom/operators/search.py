@@ -8,6 +8,7 @@ only the query's terms of it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +20,15 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..functions.vector import cosine_distance
 from ..schema import RRF_K
-from ..session import ship
+from ..session import ship, spread
 
 K1, B = 1.2, 0.75
+_CHAR = r"[\p{L}\p{N}]"
+#: A token: a run of letters and digits of two bytes or more.
+_TOKEN = rf"{_CHAR}{{2,}}|[\p{{L}}\p{{N}}&&[^\x00-\x7F]]"
 
 
 def query_terms(text: str) -> list[str]:
-    import re
-
     return [t for t in re.split(r"[^\w]+|_+", text.lower()) if len(t.encode()) > 1]
 
 
@@ -38,13 +40,15 @@ def bm25(docs: DataFrame, text: Column | str, query: str, keys: list[str]) -> Da
     """(keys, score) of documents with any of the query's terms; a term that
     the query repeats counts as often. Scores are not rounded."""
     terms = query_terms(query)
-    words = F.col("_w")
+    low = F.lower(F.col(text) if isinstance(text, str) else text)
+    found = F.regexp_extract_all("_low", F.lit(rf"(?<!{_CHAR})(?:{'|'.join(map(re.escape, terms)) or '(?!)'})(?!{_CHAR})"), F.lit(0))
 
     def count(term: str) -> Column:
-        return F.size(F.filter(words, lambda t: t == F.lit(term)))
+        return F.size(F.filter("_hits", lambda t: t == F.lit(term)))
 
     counts = F.array(*map(count, terms)) if terms else F.array().cast("array<int>")
-    narrow = docs.select(*keys, tokens(text).alias("_w")).select(*keys, F.size("_w").alias("dl"), counts.alias("tf"))
+    length = F.coalesce(F.regexp_count("_low", F.lit(_TOKEN)), F.lit(0))
+    narrow = spread(docs).select(*keys, low.alias("_low")).select(*keys, length.alias("dl"), F.coalesce(found, F.array().cast("array<string>")).alias("_hits")).select(*keys, "dl", counts.alias("tf"))
     if not terms:
         return narrow.select(*keys, F.lit(0.0).alias("score")).filter("false")
     sums = narrow.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count(F.when(F.col("tf")[i] > 0, 1)).alias(f"df{i}") for i in range(len(terms)))).first()

@@ -45,3 +45,13 @@ def checkpoint(df):
             folder = tempfile.mkdtemp(prefix="codeloom-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """df in at least as many partitions as there are cores.
+
+    For work on whole texts that would else run in the few partitions of a
+    small table; larger tables are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
