@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_small
+from .common import Scratch, within
 
 #: No document is taken more often.
 MOST = 3
@@ -56,7 +56,13 @@ def allocate(totals: DataFrame, most: float = MOST) -> DataFrame:
     return t.withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))).select(*totals.columns, "target")
 
 
-def _cut(rows: DataFrame, budget: DataFrame, half: bool) -> DataFrame:
+def _by_source(rows: DataFrame, small: DataFrame, on: list[str], few: bool) -> DataFrame:
+    """Equi-join with a table of at most one row a source; broadcast where the
+    sources have been counted and are few."""
+    return rows.join(F.broadcast(small) if few else small, on)
+
+
+def _cut(rows: DataFrame, budget: DataFrame, half: bool, few: bool) -> DataFrame:
     """(key, cut, also) per source: the first candidate (v, id) that overruns.
 
     rows: key, v in [0, 1), id, size. Taken is the longest prefix in order of
@@ -76,9 +82,9 @@ def _cut(rows: DataFrame, budget: DataFrame, half: bool) -> DataFrame:
     start = budget.select("key", "gap", F.lit(0).cast("long").alias("base"))
     coarse = rows.withColumn("c1", F.floor(F.col("v") * 4096))
     one = first(coarse.groupBy("key", "c1").agg(F.sum("size").alias("size")), start, "c1")
-    fine = join_small(coarse, one.select("key", "c1"), ["key", "c1"], "inner").withColumn("c2", F.floor(F.col("v") * 16777216))
+    fine = _by_source(coarse, one.select("key", "c1"), ["key", "c1"], few).withColumn("c2", F.floor(F.col("v") * 16777216))
     two = first(fine.groupBy("key", "c2").agg(F.sum("size").alias("size")), one.select("key", "gap", "base"), "c2")
-    cell = fine.join(two, ["key", "c2"])
+    cell = _by_source(fine, two, ["key", "c2"], few)
     also = (F.col("before") + F.col("size") / 2 <= F.col("gap")) if half else F.lit(False)
     ends = (
         cell.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(run("v", "id")), F.lit(0)))
@@ -143,18 +149,19 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, most: int = MOST, b
     per_word = F.when(F.col("wished") > 0, F.col("target") / F.col("wished")).otherwise(0.0)
     plan = allocate(totals, most).select(F.col("key").alias("_key"), F.col("size").alias("_source_size"), F.col("target").alias("_target"), per_word.alias("_per_word"))
     plan = scratch.write(plan, "plan")
-    sure = _with_chances(join_small(sized, plan, ["_key"], "inner"), most).groupBy("_key").agg(F.sum(F.col("_size") * F.col("_whole")).alias("sure"))
+    few = within(plan, 50_000)
+    sure = _with_chances(_by_source(sized, plan, ["_key"], few), most).groupBy("_key").agg(F.sum(F.col("_size") * F.col("_whole")).alias("sure"))
     plan = scratch.write(plan.join(sure, "_key").withColumn("_gap0", F.col("_target") - F.col("sure")).drop("sure"), "plan0")
     for r in range(ROUNDS):
-        rows = _with_chances(join_small(sized, plan, ["_key"], "inner"), most)
+        rows = _with_chances(_by_source(sized, plan, ["_key"], few), most)
         for q in range(r):
             rows = _decide(rows, q)
         open_rows = rows.filter(_free(r)).select(F.col("_key").alias("key"), F.col("_v").alias("v"), F.col("_id").alias("id"), F.col("_size").alias("size"))
-        cuts = _cut(open_rows, plan.select(F.col("_key").alias("key"), F.col(f"_gap{r}").alias("gap")), half=r == ROUNDS - 1)
+        cuts = _cut(open_rows, plan.select(F.col("_key").alias("key"), F.col(f"_gap{r}").alias("gap")), half=r == ROUNDS - 1, few=few)
         cuts = cuts.select(F.col("key").alias("_key"), F.col("cut").alias(f"_cut{r}"), F.col("also").alias(f"_also{r}"))
         plan = scratch.write(plan.join(cuts, "_key"), f"cuts{r}")
         if r < ROUNDS - 1:
-            rows = _with_chances(join_small(sized, plan, ["_key"], "inner"), most)
+            rows = _with_chances(_by_source(sized, plan, ["_key"], few), most)
             for q in range(r + 1):
                 rows = _decide(rows, q)
             used = rows.filter("_extra").groupBy("_key").agg(F.sum("_size").alias("used"))
@@ -162,7 +169,7 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, most: int = MOST, b
             plan = scratch.write(plan.join(used, "_key", "left").select(*plan.columns, gap), f"plan{r + 1}")
     names = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), *(c.alias(n) for n, c in own.items()))
-    rows = _with_chances(join_small(rows, plan, ["_key"], "inner"), most)
+    rows = _with_chances(_by_source(rows, plan, ["_key"], few), most)
     for r in range(ROUNDS):
         rows = _decide(rows, r)
     # the explode keeps filters on the result from being unfolded into all these terms
