@@ -28,7 +28,7 @@ from . import textkernel as K
 from .common import text_batches
 
 CAPACITY = 2048
-OPEN_BINS = 1024
+OPEN_BINS = 16384
 #: Pieces that wait and are placed longest first.
 LOOKAHEAD = 16384
 #: Pre-tokens held by one worker.
