@@ -6,8 +6,9 @@ line is collapsed. Parts that name themselves as something else than content
 the lines left, text lengths (less the text of links) are summed in sliding
 windows of ``WINDOW`` lines: a surge point is a line whose window reaches
 ``SURGE`` characters, a dive point one from which the windows are empty or the
-lines end. All text between the points of the richest stretch is kept. Where
-the page marks its article, the stretch is widened to the marked part and
+lines end. All text from the first surge to the dive after the last one is
+kept, lists of links between them included, and the short lines and the
+heading that lead up to the first surge. Where the page marks its article, the stretch is widened to the marked part and
 lines outside it are left out.
 """
 
@@ -66,11 +67,11 @@ def _bad(tag: str, attrs: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, in a marked article) of each line."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, characters in links, in a marked article, heading) of each line."""
+    out: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
-    linked, links, marked = 0, 0, 0
+    linked, links, marked, heading = 0, 0, 0, False
     stack: list[tuple[str, bool]] = []  # open elements and whether they are dropped
     dropped = 0
     at = 0
@@ -80,15 +81,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                out.append((text, linked, marked > 0))
+                out.append((text, linked, marked > 0, heading))
         parts, linked = [], 0
 
     def close(k: int) -> None:
-        nonlocal dropped, links, marked
+        nonlocal dropped, links, marked, heading
         while len(stack) > k:
             tag, bad = stack.pop()
             if tag not in _INLINE:
                 flush()
+                heading = heading and tag not in _HEAD
             dropped -= bad
             links -= tag == "a"
             marked -= tag in _MAIN
@@ -151,6 +153,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         stack.append((tag, bad))
         dropped += bad
         links += tag == "a"
+        heading = heading or tag in _HEAD
         if tag in _MAIN:
             marked += 1
     if at < len(page) and not dropped:
@@ -160,33 +163,36 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def stretch(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """First and last + 1 line of the richest stretch between a surge and the
-    dive after it; (0, 0) if there is none."""
+def stretch(lengths: list[int], headings: list[bool] | None = None, window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
+    """First and last + 1 line from the first surge, with what leads up to it,
+    to the dive after the last surge; (0, 0) if there is none."""
     n = len(lengths)
     sums = [sum(lengths[i : i + window]) for i in range(n)]
-    best, i = (0, 0, 0), 0
-    while i < n:
-        if sums[i] < surge or not lengths[i]:
-            i += 1
-            continue
-        j = i
-        while j < n and sums[j] > 0:
-            j += 1
-        best = max(best, (sum(lengths[i:j]), -i, j))
-        i = j + 1
-    return -best[1], best[2]
+    surges = [i for i in range(n) if sums[i] >= surge and lengths[i]]
+    if not surges:
+        return 0, 0
+    a, b = surges[0], surges[-1]
+    while b < n and sums[b] > 0:
+        b += 1
+    while a:
+        k = a - 1
+        while k > 0 and a - k < window and not lengths[k]:
+            k -= 1
+        if k < a - 1 and not (headings and headings[k]) or not lengths[k]:
+            break  # lines of links lead up to nothing but a heading
+        a = k
+    return a, b
 
 
 def main_text(page: str) -> str:
     lines = lines_of(page)
     if any(x[2] for x in lines):
         return " ".join(x[0] for x in lines if x[2])
-    lengths = [max(0, len(t) - 2 * links) if links * 2 > len(t) else len(t) for t, links, _ in lines]
-    a, b = stretch(lengths)
+    lengths = [max(0, len(t) - 2 * links) if links * 2 > len(t) else len(t) for t, links, _, _ in lines]
+    a, b = stretch(lengths, [x[3] for x in lines])
     if (a, b) == (0, 0):
         b = len(lines)  # a short page: no surge, so no lines to cut off
-    return " ".join(t for t, _, _ in lines[a:b])
+    return " ".join(x[0] for x in lines[a:b])
 
 
 def extract(pages: DataFrame) -> DataFrame:

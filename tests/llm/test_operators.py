@@ -499,6 +499,17 @@ def test_main_text(body):
     assert html_extract.main_text(page(body)) == TEXT
 
 
+def test_text_from_first_surge_to_last_dive():
+    links = "".join(f"<li><a href='/{i}'>See also number {i}</a></li>" for i in range(4))
+    para = lambda w: f"<p>{' '.join([w] * 60)}</p>"
+    got = html_extract.main_text(page(f"<div><ul>{links}</ul><h1>Short title</h1><p><a href='/a'>The Author</a></p><p>By a person</p><p>Monday</p>{para('first')}{para('second')}<ul>{links}</ul>{para('third')}<ul>{links}</ul></div>"))
+    assert got.startswith("Short title The Author By a person Monday first") and got.endswith("third") and got.count("third") == 60
+    assert got.count("See also") == 4  # those between the paragraphs
+    assert html_extract.stretch([20, 300, 300, 300, 0, 0, 0, 250, 250, 250]) == (0, 10)
+    assert html_extract.stretch([18, 20, 15, 22, 400, 300]) == (0, 6)
+    assert html_extract.stretch([0, 0, 5, 0, 300, 0, 0, 0, 9]) == (2, 5)
+
+
 def test_pages_table(spark):
     rows = [(1, "u", page(f"<article>{ARTICLE}</article>")), (1, "u", page(f"<article>{ARTICLE}</article>")), (2, None, None), (3, "v", ""), (None, "w", "<p>bare &eacute;"), (4, "x", "<" * 3000), (5, "y", "<article><p>" + "word " * 50_000)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
