@@ -8,8 +8,9 @@ windows of ``WINDOW`` lines: a surge point is a line whose window reaches
 ``SURGE`` characters, a dive point one from which the windows are empty or the
 lines end. All text from the first surge to the dive after the last one is
 kept, lists of links between them included, and the short lines and the
-heading that lead up to the first surge. Where the page marks its article, the stretch is widened to the marked part and
-lines outside it are left out.
+heading that lead up to the first surge. Marked articles that overlap this
+stretch, and one that is the page's only one, are taken in whole; where they
+hold at least half of the text, lines outside them are left out.
 """
 
 from __future__ import annotations
@@ -67,11 +68,11 @@ def _bad(tag: str, attrs: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, in a marked article, heading) of each line."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
+    """(text, characters in links, number of the marked article or 0, heading) of each line."""
+    out: list[tuple[str, int, int, bool]] = []
     parts: list[str] = []
-    linked, links, marked, heading = 0, 0, 0, False
+    linked, links, marked, article, heading = 0, 0, 0, 0, False
     stack: list[tuple[str, bool]] = []  # open elements and whether they are dropped
     dropped = 0
     at = 0
@@ -81,7 +82,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                out.append((text, linked, marked > 0, heading))
+                out.append((text, linked, article if marked else 0, heading))
         parts, linked = [], 0
 
     def close(k: int) -> None:
@@ -155,6 +156,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         links += tag == "a"
         heading = heading or tag in _HEAD
         if tag in _MAIN:
+            article += not marked
             marked += 1
     if at < len(page) and not dropped:
         parts.append(page[at:])
@@ -186,13 +188,17 @@ def stretch(lengths: list[int], headings: list[bool] | None = None, window: int
 
 def main_text(page: str) -> str:
     lines = lines_of(page)
-    if any(x[2] for x in lines):
-        return " ".join(x[0] for x in lines if x[2])
     lengths = [max(0, len(t) - 2 * links) if links * 2 > len(t) else len(t) for t, links, _, _ in lines]
     a, b = stretch(lengths, [x[3] for x in lines])
     if (a, b) == (0, 0):
         b = len(lines)  # a short page: no surge, so no lines to cut off
-    return " ".join(x[0] for x in lines[a:b])
+    articles = {x[2] for x in lines} - {0}
+    if len(articles) > 1:
+        articles &= {x[2] for x in lines[a:b]}
+    inside = sum(n for n, x in zip(lengths, lines) if x[2] in articles)
+    outside = sum(n for n, x in zip(lengths[a:b], lines[a:b]) if x[2] not in articles)
+    trimmed = bool(articles) and inside >= outside
+    return " ".join(x[0] for i, x in enumerate(lines) if x[2] in articles or a <= i < b and not trimmed)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -510,6 +510,18 @@ def test_text_from_first_surge_to_last_dive():
     assert html_extract.stretch([0, 0, 5, 0, 300, 0, 0, 0, 9]) == (2, 5)
 
 
+def test_articles_widen_or_trim_the_stretch():
+    para = lambda w: f"<p>{' '.join([w] * 60)}</p>"
+    text = lambda *w: " ".join(x for v in w for x in [v] * 60)
+    cards = "<article><h3>Card one</h3><p>teaser</p></article><article><h3>Card two</h3><p>teaser</p></article>"
+    links = "".join(f"<p><a href='/{i}'>Number {i}</a></p>" for i in range(4))
+    assert html_extract.main_text(page(f"<div>{para('one')}{para('two')}</div>{links}{cards}")) == text("one", "two")
+    assert html_extract.main_text(page(f"<div>{para('one')}{para('two')}</div>{cards}")).startswith(text("one", "two"))
+    assert html_extract.main_text(page(f"<div>{para('out')}</div><article>{links}{para('one')}{links}{para('two')}{links}</article>")).count("Number") == 12
+    assert "out" not in html_extract.main_text(page(f"<div>{para('out')}</div><article>{para('one')}{para('two')}</article>"))
+    assert html_extract.main_text(page(f"{para('out')}{links}<article><p>The whole of it.</p></article>")) == text("out") + " The whole of it."
+
+
 def test_pages_table(spark):
     rows = [(1, "u", page(f"<article>{ARTICLE}</article>")), (1, "u", page(f"<article>{ARTICLE}</article>")), (2, None, None), (3, "v", ""), (None, "w", "<p>bare &eacute;"), (4, "x", "<" * 3000), (5, "y", "<article><p>" + "word " * 50_000)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
