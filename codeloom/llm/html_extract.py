@@ -31,17 +31,36 @@ _MARK = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)(?:>|\Z)""",
     re.DOTALL,
 )
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr "
+    "object audio video canvas math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mmultiscripts mspace mpadded semantics annotation".split()
+)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-_DROP = frozenset("nav header footer aside form button select option dialog menu svg math object audio video canvas map fieldset head datalist".split())
+_DROP = frozenset("nav header footer aside form button select option dialog menu svg map fieldset head datalist".split())
 _HEAD = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Text of its own, in which a name may be a subject: the id is often made of the heading's words.
+_TEXT = _HEAD | frozenset("p pre blockquote li dl dt dd table thead tbody tfoot caption tr td th figure figcaption details summary".split())
+#: Parts of a name that say enough, and names that do only as a whole.
 _BAD = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox adbanner banner banners sponsor sponsored sponsors promo promos promotion promoted "
-    "nav navbar navigation navi menu menus submenu breadcrumb breadcrumbs pagination pager header masthead topbar footer bottombar sidebar sidebars aside widget widgets "
-    "notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login signin register search searchform form "
-    "comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations toolbar skip hidden".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox adbanner sponsor sponsored sponsors "
+    "nav navbar navi submenu menu menus breadcrumb breadcrumbs pagination pager masthead topbar footer bottombar sidebar sidebars "
+    "cookie cookies gdpr popup newsletter commentlist disqus searchform".split()
+)
+_BAD_NAMES = frozenset(
+    "banner banners promo promos promotion promoted navigation aside header widget widgets consent modal overlay subscribe subscription signup login signin register "
+    "search form notice notices comment comments respond reply replies share sharing social related recommended recommendations toolbar skip hidden discussion".split()
+)
+#: Of these, names that an article's own parts have as well.
+_OWN = frozenset("header form notice notices discussion overlay promotion register subscription navigation comment reply".split())
+#: Ambiguous words with the name of a container.
+_BAD_PAIR = re.compile(
+    r"""(?:[a-z]+[-_])??(?:comments?|respond|repl(?:y|ies)|related|recommended|shar(?:e|ing)|social|search|promo|widget|banner|login|signup|subscribe|cookie|consent|toolbar|skip)
+    [-_](?:area|list|section|box|bar|form|buttons?|icons?|links?|widgets?|wrapper|container|block|posts?|articles?|stories|respond|count|banner|notice|message|overlay|modal|nav)
+    |(?:post|page|site|top|user|blog|entry|article|global|main)[-_](?:comments|share|sharing|search|social|banner|navigation|related|widgets)
+    |site[-_]?header|page[-_]?header|top[-_]?header|(?:comment|widget|share)[-_]?\d+|share[-_]this""",
+    re.VERBOSE,
 )
 #: Says what a page has beside this element.
 _LAYOUT = re.compile(r"\b(?:has|with|no|without|show|hide)[-_]\w+")
@@ -50,16 +69,36 @@ _MAIN = frozenset(("article", "main"))
 _P_ENDERS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
-def _bad(tag: str, attrs: str) -> bool:
+def _named_bad(tag: str, kind: str, value: str, inside: bool) -> bool:
+    """Whether a class or id says that an element is something else than content."""
+    names = value.split()
+    if tag in _TEXT:  # classes alone, as a whole
+        return kind == "class" and any(n in _BAD or n == "hidden" for n in names)
+    if kind == "id" and tag == "section":
+        return False
+    for n in names:
+        n = re.sub(r"(?<=[a-z])\d+$", "", n)
+        if n in _BAD or _BAD_PAIR.fullmatch(n):
+            return True
+        if n in _BAD_NAMES and not (n in _OWN and (inside or tag == "section" or kind == "id" and n != "header")):
+            return True
+        if not (kind == "id" and inside) and not _BAD.isdisjoint(re.split(r"[^a-z0-9]+", n)):
+            return True
+    return False
+
+
+def _bad(tag: str, attrs: str, inside: bool = False) -> bool:
     if tag in _DROP:
         return True
     if not attrs or tag in ("body", "html"):
         return False
+    found = {}
     for name, value in _ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id"):
-            value = _LAYOUT.sub("", re.sub(r"(?<=[a-z])\d+\b", "", value))
-            if not _BAD.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        found.setdefault(name.lower(), value.strip("\"'").lower())
+    slug = "section" in found.get("class", "").split()  # a heading's text as id
+    for name, value in found.items():
+        if name == "class" or name == "id" and not slug:
+            if _named_bad(tag, name, _LAYOUT.sub("", value), inside):
                 return True
         if name == "role" and value in _BAD_ROLE or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -148,7 +187,7 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
             flush()
         if tag in _VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
-        bad = _bad(tag, m[3])
+        bad = _bad(tag, m[3], marked > 0)
         if bad and tag == "header" and marked and not dropped:
             bad = False  # an article's own head
         stack.append((tag, bad))

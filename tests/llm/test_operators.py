@@ -522,6 +522,28 @@ def test_articles_widen_or_trim_the_stretch():
     assert html_extract.main_text(page(f"{para('out')}{links}<article><p>The whole of it.</p></article>")) == text("out") + " The whole of it."
 
 
+SLUGS = [
+    "<h2 id='related-work'>Kept part</h2>", "<h2 id='search-algorithms'>Kept part</h2>", "<section id='discussion'><p>Kept part</p></section>", "<div class='article-header'>Kept part</div>",
+    "<div class='section' id='ad-hoc-networks'><p>Kept part</p></div>", "<p id='cookies' class='notice'>Kept part</p>", "<section id='social-media'>Kept part</section>", "<p title='hidden form'>Kept part</p>",
+    "<div data-id='search' data-class='related'>Kept part</div>", "<h3 id='menu'>Kept part</h3>", "<p><math><mi>Kept</mi></math> part</p>", "<object data='x.svg'>Kept part</object>", "<div id='form-of-notice'>Kept part</div>",
+]
+
+
+@pytest.mark.parametrize("part", SLUGS)
+def test_slugs_do_not_drop_text(part):
+    assert html_extract.main_text(page(f"<article>{ARTICLE}{part}</article>")) == TEXT + " Kept part"
+    assert html_extract.main_text(page(f"<div>{ARTICLE}{part}</div>")) == TEXT + " Kept part"
+
+
+@pytest.mark.parametrize(
+    "attrs",
+    ["class='related'", "class='related-posts'", "class='post-comments'", "class='site-footer'", "id='comments'", "class='share-buttons big'", "class='sidebar-left'", "class='widget-area'", "class='cookie-banner'", "id=sidebar", "class='search-form'", "hidden", "aria-hidden=true", "style='display: none'"],
+)
+def test_other_parts_are_dropped(attrs):
+    assert html_extract.main_text(page(f"<article>{ARTICLE}<div {attrs}><p>Other</p></div></article>")) == TEXT
+    assert html_extract.main_text(page(f"<div>{ARTICLE}<div {attrs}><p>Other</p></div></div>")) == TEXT
+
+
 def test_pages_table(spark):
     rows = [(1, "u", page(f"<article>{ARTICLE}</article>")), (1, "u", page(f"<article>{ARTICLE}</article>")), (2, None, None), (3, "v", ""), (None, "w", "<p>bare &eacute;"), (4, "x", "<" * 3000), (5, "y", "<article><p>" + "word " * 50_000)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
