@@ -2,9 +2,10 @@
 
 Three patterns give the base spans: assignments to sensitive names, access
 keys and long hexadecimal runs. The method adds spans: strings of key-like
-characters near a sensitive word are candidates, and each is measured by the
-bytes that it adds to the compressed surrounding text, with a dictionary of
-code and identifiers. A string that neither the dictionary nor its
+characters up to ``REACH`` before or after a sensitive word are candidates,
+and each is measured by the bytes that it adds to the compressed surrounding
+text, with a dictionary of code and identifiers. Nothing but this measure
+decides, on strings of letters or digits alone too. A string that neither the dictionary nor its
 surroundings explain, at ``NOVELTY`` bytes a character or more, is reported.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,8 +33,22 @@ CONTEXT = re.compile(r"password|passwd|passphrase|secret|token|api[_ -]?key|acce
 _CONTEXT_PARTS = ("passw", "passphrase", "secret", "token", "key", "credential", "authorization", "bearer", "client")
 #: Code points between a sensitive word and a candidate, and around it for its surroundings.
 REACH, AROUND = 48, 200
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{LEAST},}}")
 NOVELTY = 0.6
+#: Parts of names and long words, which are added as they are and with a capital.
+_WORDS = (
+    "abstract access account action adapter address application argument array async attribute authentication background base bean before buffer builder button bytes cache call center change char "
+    "character check child class client collection column command comment common component condition connection container content convert count create credential current custom data date decode default "
+    "definition description detail dialog direction directory document domain element encode entity entry error event exception execute expression extension external factory field filter format "
+    "generate global group helper history image index information input instance integer interface internal international item iterator language layout length library listener location logger management map memory "
+    "message method module name network notification number object operation option output package panel parameter parent parser password path pattern permission plugin pool position process "
+    "product profile project property proxy public query reader receive record reference register remove render request resource resolver response result return role schedule schema script section segment "
+    "select serialize sequence setting single singleton source standard start state statement status storage stream string structure style subject support symbol table target template test "
+    "thread time transaction transform translate type update upload user util validate validator value vector version view visible widget window wrapper write "
+    "under over inter counter trans super pre post non anti multi micro hyper mis dis self semi able ability ation ational ization isation istic istically ingly iously fully less ness ment ments ship "
+    "responsib compat understand standing national revolution represent communicat administrat gesellschaft schaft keit heit ung ungen lich begrenzung geschwindig verwaltung iones amiento mente idad aciones ement"
+).split()
 _DICTIONARY = (
     "abcdefghijklmnopqrstuvwxyz0123456789 example changeme placeholder your_api_key_here xxxxxxxxxxxxxxxx 0000000000000000 1234567890123456 "
     "import from return class def function const let var public private static void int string bool float double null true false None True False self this "
@@ -42,12 +58,7 @@ _DICTIONARY = (
     "connection database server host port session request response header cookie account service manager controller handler factory provider repository "
     "getInstance toString equals hashCode initialize update delete insert select where order group "
     "the and that with this from have which their would there about other "
-).encode() * 2
-
-
-def _shape(s: str) -> bool:
-    """Digits and letters, and few repeats: words and numbers are no keys."""
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and len(set(s)) >= 8
+).encode() * 2 + " ".join([*_WORDS, *map(str.capitalize, _WORDS)]).encode()
 
 
 class Novelty:
@@ -80,18 +91,21 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         if not _novelty:
             _novelty.append(Novelty())
         base, seen = list(spans), set()
-        for word in CONTEXT.finditer(text):
-            for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 16)):
-                end = m.end()
-                while end < len(text) and CANDIDATE.match(text[end] * 16):
-                    end += 1
-                start = m.start()
-                if (start, end) in seen or any(s < end and start < e for _, s, e in base):
-                    continue
-                seen.add((start, end))
-                s = text[start:end]
-                if _shape(s) and _novelty[0](text[max(0, start - AROUND) : start], s, text[end : end + AROUND]) >= NOVELTY:
-                    spans.append(("novel", start, end))
+        runs = [m.span() for m in CANDIDATE.finditer(text)]
+        ends = [e for _, e in runs]
+        for word in CONTEXT.finditer(text) if runs else ():
+            for k in range(bisect_left(ends, word.start() - REACH), len(runs)):
+                a, b = runs[k]
+                if a > word.end() + REACH:
+                    break
+                for start, end in ((a, min(b, word.start())), (max(a, word.end()), b)):  # the parts before and after the word
+                    if end - start < LEAST or end < word.start() - REACH or start > word.end() + REACH:
+                        continue
+                    if (start, end) in seen or any(s < end and start < e for _, s, e in base):
+                        continue
+                    seen.add((start, end))
+                    if _novelty[0](text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]) >= NOVELTY:
+                        spans.append(("novel", start, end))
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return spans
 

@@ -466,6 +466,22 @@ def test_novelty_finds_keys_and_leaves_names():
     assert secret_scan.find_spans("q7Zk2Wm9Xp4Lr8Tv1Nb6 " + words(1, 100)) == []
 
 
+NOVEL = ["q8Zk3LmX0vTr7Yb2Nw5H", "qZkLmXvTrYbNwHcDfGpRsJ", "qzklmxvtrybnwhcdfgprsj"]
+
+
+@pytest.mark.parametrize("key", NOVEL)
+@pytest.mark.parametrize("form", ['{{"value": "{}", "kind": "api key"}}', "{} # access key", "bearer {} today", "the {}, " + "x " * 18 + "secret"])
+def test_novelty_on_both_sides_of_the_word(form, key):
+    text = form.format(key)
+    assert [(k, text[a:b]) for k, a, b in secret_scan.find_spans(text)] == [("novel", key)]
+
+
+def test_novelty_leaves_words_and_far_strings():
+    for name in ("AbstractSingletonProxyFactoryBean", "characteristically", "internationalization", "-" * 40):
+        assert secret_scan.find_spans(f"{name} for the access key") == secret_scan.find_spans(f"the bearer {name} is used") == [], name
+    assert secret_scan.find_spans(NOVEL[0] + " x" * 30 + " secret" + " x" * 30 + " " + NOVEL[0]) == []
+
+
 def test_redaction(spark, awkward):
     docs = spark.createDataFrame([(1, SECRETS[1], None, "s", 99), (2, None, None, None, None)], DOC).withColumn("spans", F.lit("own"))
     got = {r.doc_id: r for r in secret_scan.redact_secrets(docs).collect()}
