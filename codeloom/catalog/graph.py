@@ -143,6 +143,12 @@ def unmatched_anti(spark: SparkSession, d: str) -> DataFrame:
     return part_nodes(spark, d).select("id").join(used, "id", "left_anti")
 
 
+@query("unmatched_anti_all", f"{with_('supply', 'parts')} select id from parts where id not in (select dst from supply)")
+def unmatched_anti_all(spark: SparkSession, d: str) -> DataFrame:
+    """unmatched_anti against every supply edge."""
+    return part_nodes(spark, d).select("id").join(supply_edges(spark, d).select(F.col("dst").alias("id")), "id", "left_anti")
+
+
 @query("semi_join_ids", f"{FLOW} select distinct src from flow where dst in (select p_partkey from part where p_size = 7)")
 def semi_join_ids(spark: SparkSession, d: str) -> DataFrame:
     wanted = table(spark, d, "part").filter("p_size = 7").select(F.col("p_partkey").alias("dst"))

@@ -55,6 +55,13 @@ def component_cohesion(spark: SparkSession, d: str) -> DataFrame:
     return community.component_communities(T.components(e, part_nodes(spark, d).select("id")), e)
 
 
+@query("component_cohesion_all")
+def component_cohesion_all(spark: SparkSession, d: str) -> DataFrame:
+    """component_cohesion over every qualifying edge, for which recursive SQL is too slow."""
+    e = flow_edges(spark, d).filter("confidence >= 1.0")
+    return community.component_communities(T.components(e, part_nodes(spark, d).select("id")), e)
+
+
 @query("import_confidence", "select l_suppkey as src, l_partkey as dst, max(case when l_returnflag = 'R' then 0.5 else 1.0 end)::double as confidence from lineitem where l_suppkey <> l_partkey group by all")
 def import_confidence(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
@@ -110,6 +117,21 @@ def type_fixpoint(spark: SparkSession, d: str) -> DataFrame:
     return R.propagate_types(k, p, none, none).select(F.col("var").cast("long").alias("var"), "type")
 
 
+@query(
+    "type_fixpoint_all",
+    """with recursive k as (select distinct o_custkey as v, 'T' || (o_custkey % 7) as t from orders where o_orderstatus = 'F'),
+    p as (select c_custkey as v, c_custkey // 2 as base from customer where c_custkey > 0 and c_custkey not in (select v from k)),
+    w(v, t, r) as (select v, t, 0 from k union all select p.v, w.t, r + 1 from w join p on p.base = w.v)
+    select v as var, t as type from w""",
+)
+def type_fixpoint_all(spark: SparkSession, d: str) -> DataFrame:
+    """type_fixpoint seeded from every customer with a finished order."""
+    k = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.lit("s").alias("scope"), F.col("o_custkey").cast("string").alias("var"), F.concat(F.lit("T"), F.col("o_custkey") % 7).alias("type")).distinct()
+    p = table(spark, d, "customer").filter("c_custkey > 0").select(F.lit("s").alias("scope"), F.col("c_custkey").cast("string").alias("var"), F.lit("copy").alias("kind"), F.expr("cast(c_custkey div 2 as string)").alias("base"), F.lit(None).cast("string").alias("member"), F.lit(1).alias("seq"))
+    none = spark.createDataFrame([], "owner string, name string, type string")
+    return R.propagate_types(k, p, none, none, rounds=64).select(F.col("var").cast("long").alias("var"), "type")
+
+
 @query(
     "hybrid_modes",
     f"""with {_bm25_sql('documents', 'doc_id')}, k as (select doc_id as id, row_number() over (order by score desc, doc_id) as rank from hits qualify rank <= 10),

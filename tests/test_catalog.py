@@ -1,5 +1,6 @@
 """Every registered query of the library against its SQL on the smallest tables."""
 
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -38,3 +39,23 @@ def test_oracle(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_rows_only(spark, name):
     assert catalog.QUERIES[name](spark, str(SF)).count() > 0
+
+
+def test_component_cohesion_takes_every_edge(spark):
+    from codeloom.sources.tables import flow_edges, part_nodes
+
+    edges = [(r.src, r.dst) for r in flow_edges(spark, str(SF)).filter("confidence >= 1.0").collect()]
+    up = {r.id: r.id for r in part_nodes(spark, str(SF)).select("id").collect()}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    size, inner = Counter(map(root, up)), Counter(root(a) for a, _ in edges)
+    assert any(a % 3 != b % 3 for a, b in edges)
+    got = {(r.component, r["size"], r.cohesion) for r in catalog.QUERIES["component_cohesion_all"](spark, str(SF)).collect()}
+    assert got == {(c, n, round(inner[c] / len(edges), 6)) for c, n in size.items()}
