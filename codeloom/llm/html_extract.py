@@ -2,15 +2,16 @@
 
 Markup is stripped so that every block element gives a line; white space in a
 line is collapsed. Parts that name themselves as something else than content
-(scripts, menus, footers, adverts, forms, comments ...) give no lines. Over
-the lines left, text lengths (less the text of links) are summed in sliding
+(scripts, menus, footers, adverts, forms, comments ...) give one line without
+text, and so without weight. A line weighs its characters, or nothing where
+most of them are links. Over the whole page, weights are summed in sliding
 windows of ``WINDOW`` lines: a surge point is a line whose window reaches
 ``SURGE`` characters, a dive point one from which the windows are empty or the
 lines end. All text from the first surge to the dive after the last one is
 kept, lists of links between them included, and the short lines and the
 heading that lead up to the first surge. Marked articles that overlap this
 stretch, and one that is the page's only one, are taken in whole; where they
-hold at least half of the text, lines outside them are left out.
+hold at least half of the weight, lines outside them are left out.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -107,12 +109,70 @@ def _bad(tag: str, attrs: str, inside: bool = False) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
-    """(text, characters in links, number of the marked article or 0, heading) of each line."""
-    out: list[tuple[str, int, int, bool]] = []
+class _Open:
+    """Open elements, with the places of each tag, so that ends are found without a search."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool]] = []  # tags and whether they are dropped
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.mains: list[int] = []
+
+    def push(self, tag: str, bad: bool) -> None:
+        k = len(self.stack)
+        self.stack.append((tag, bad))
+        self.places.setdefault(tag, []).append(k)
+        if tag not in _INLINE:
+            self.blocks.append(k)
+        if tag in _MAIN:
+            self.mains.append(k)
+
+    def pop(self) -> tuple[str, bool]:
+        tag, bad = self.stack.pop()
+        self.places[tag].pop()
+        if tag not in _INLINE:
+            self.blocks.pop()
+        if tag in _MAIN:
+            self.mains.pop()
+        return tag, bad
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """Place of the innermost of these tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def end_of(self, tag: str) -> int | None:
+        """Place of the element that an end tag closes; -1 if there is none,
+        None if a block (for an inline end) or an article stands between."""
+        k = self.last((tag,))
+        if tag in _INLINE and self.blocks and self.blocks[-1] > k or tag not in ("body", "html") and self.mains and self.mains[-1] > k:
+            return None
+        return k
+
+
+_SAME = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "li": ("li",), "option": ("option",)}
+_OUTER = ("ul", "ol", "dl", "table", "div", "section", "article", "select")
+
+
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters in links
+    article: int  # number of the marked article, or 0
+    heading: bool
+    dropped: bool  # stands for parts that aren't content, without their text
+
+    @property
+    def weight(self) -> int:
+        """Characters that count for a surge; none where links are most of the line."""
+        return max(0, len(self.text) - 2 * self.linked) if self.linked * 2 > len(self.text) else len(self.text)
+
+
+def lines_of(page: str) -> list[Line]:
+    """The page's lines in order; neighbouring parts that are dropped are one
+    line without text. Linear in the page, however deep its elements."""
+    out: list[Line] = []
     parts: list[str] = []
-    linked, links, marked, article, heading = 0, 0, 0, 0, False
-    stack: list[tuple[str, bool]] = []  # open elements and whether they are dropped
+    linked, links, article, heading = 0, 0, 0, 0
+    opened = _Open()
     dropped = 0
     at = 0
 
@@ -121,19 +181,19 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                out.append((text, linked, article if marked else 0, heading))
+                out.append(Line(text, linked, article if opened.mains else 0, heading > 0, False))
         parts, linked = [], 0
 
     def close(k: int) -> None:
-        nonlocal dropped, links, marked, heading
-        while len(stack) > k:
-            tag, bad = stack.pop()
+        nonlocal dropped, links, heading
+        while len(opened.stack) > k:
+            tag, bad = opened.stack[-1]
             if tag not in _INLINE:
                 flush()
-                heading = heading and tag not in _HEAD
+            opened.pop()
+            heading -= tag in _HEAD
             dropped -= bad
             links -= tag == "a"
-            marked -= tag in _MAIN
 
     while m := _MARK.search(page, at):
         if m.start() > at and not dropped:
@@ -146,21 +206,14 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag in _INLINE and stack[k][0] not in _INLINE:
-                    break  # a stray inline end
-                if stack[k][0] in _MAIN and tag not in ("body", "html"):
-                    break  # ends of outer elements don't end an article
-            else:
-                if tag not in _INLINE:
-                    flush()
+            k = opened.end_of(tag)
+            if k is not None and k >= 0:
+                close(k)
+            elif k is not None and tag not in _INLINE:
+                flush()
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>|\Z", re.IGNORECASE).search(page, at)
-            at = end.end()
+            at = _raw_end(tag).search(page, at).end()
             continue
         if tag == "br" or tag == "hr":
             if not dropped:
@@ -169,34 +222,28 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
                 continue
         if tag not in _INLINE:
             if tag in _P_ENDERS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] not in _INLINE:
-                        break
-            elif tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
-                same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}.get(tag, (tag,))
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in same:
-                        close(k)
-                        if tag != "tr":
-                            break
-                    elif stack[k][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "select"):
+                if opened.blocks and opened.stack[opened.blocks[-1]][0] == "p":
+                    close(opened.blocks[-1])
+            elif tag in _SAME:
+                outer = opened.last(_OUTER)
+                while (k := opened.last(_SAME[tag])) > outer:
+                    close(k)
+                    if tag != "tr":
                         break
             flush()
         if tag in _VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
-        bad = _bad(tag, m[3], marked > 0)
-        if bad and tag == "header" and marked and not dropped:
+        bad = _bad(tag, m[3], bool(opened.mains))
+        if bad and tag == "header" and opened.mains and not dropped:
             bad = False  # an article's own head
-        stack.append((tag, bad))
+        if tag in _MAIN:
+            article += not opened.mains
+        opened.push(tag, bad)
+        if bad and not dropped and tag not in _INLINE and not (out and out[-1].dropped):
+            out.append(Line("", 0, article if opened.mains else 0, False, True))
         dropped += bad
         links += tag == "a"
-        heading = heading or tag in _HEAD
-        if tag in _MAIN:
-            article += not marked
-            marked += 1
+        heading += tag in _HEAD
     if at < len(page) and not dropped:
         parts.append(page[at:])
     close(0)
@@ -204,22 +251,41 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
-def stretch(lengths: list[int], headings: list[bool] | None = None, window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
+def _raw_end(tag: str) -> re.Pattern[str]:
+    if tag not in _RAW_ENDS:
+        _RAW_ENDS[tag] = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)|\Z", re.IGNORECASE)
+    return _RAW_ENDS[tag]
+
+
+_RAW_ENDS: dict[str, re.Pattern[str]] = {}
+
+
+def stretch(weights: list[int], headings: list[bool] | None = None, dropped: list[bool] | None = None, window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
     """First and last + 1 line from the first surge, with what leads up to it,
-    to the dive after the last surge; (0, 0) if there is none."""
-    n = len(lengths)
-    sums = [sum(lengths[i : i + window]) for i in range(n)]
-    surges = [i for i in range(n) if sums[i] >= surge and lengths[i]]
+    to the dive after the last surge; (0, 0) if there is none.
+
+    What leads up are the short lines next to it, dropped parts not counted,
+    and a heading across less than a window of lines without weight.
+    """
+    n = len(weights)
+    sums, total = [0] * n, 0
+    for i in range(n - 1, -1, -1):
+        total += weights[i] - (weights[i + window] if i + window < n else 0)
+        sums[i] = total
+    surges = [i for i in range(n) if sums[i] >= surge and weights[i]]
     if not surges:
         return 0, 0
     a, b = surges[0], surges[-1]
     while b < n and sums[b] > 0:
         b += 1
     while a:
-        k = a - 1
-        while k > 0 and a - k < window and not lengths[k]:
+        k, gap = a - 1, 0
+        while k > 0 and not weights[k]:
+            gap += not (dropped and dropped[k])
+            if gap == window:
+                break
             k -= 1
-        if k < a - 1 and not (headings and headings[k]) or not lengths[k]:
+        if not weights[k] or gap and not (headings and headings[k]):
             break  # lines of links lead up to nothing but a heading
         a = k
     return a, b
@@ -227,17 +293,17 @@ def stretch(lengths: list[int], headings: list[bool] | None = None, window: int
 
 def main_text(page: str) -> str:
     lines = lines_of(page)
-    lengths = [max(0, len(t) - 2 * links) if links * 2 > len(t) else len(t) for t, links, _, _ in lines]
-    a, b = stretch(lengths, [x[3] for x in lines])
+    weights = [x.weight for x in lines]
+    a, b = stretch(weights, [x.heading for x in lines], [x.dropped for x in lines])
     if (a, b) == (0, 0):
         b = len(lines)  # a short page: no surge, so no lines to cut off
-    articles = {x[2] for x in lines} - {0}
+    articles = {x.article for x in lines if not x.dropped} - {0}
     if len(articles) > 1:
-        articles &= {x[2] for x in lines[a:b]}
-    inside = sum(n for n, x in zip(lengths, lines) if x[2] in articles)
-    outside = sum(n for n, x in zip(lengths[a:b], lines[a:b]) if x[2] not in articles)
+        articles &= {x.article for x in lines[a:b]}
+    inside = sum(n for n, x in zip(weights, lines) if x.article in articles)
+    outside = sum(n for n, x in zip(weights[a:b], lines[a:b]) if x.article not in articles)
     trimmed = bool(articles) and inside >= outside
-    return " ".join(x[0] for i, x in enumerate(lines) if x[2] in articles or a <= i < b and not trimmed)
+    return " ".join(x.text for i, x in enumerate(lines) if not x.dropped and (x.article in articles or a <= i < b and not trimmed))
 
 
 def extract(pages: DataFrame) -> DataFrame:
