@@ -2,19 +2,22 @@
 
 Three patterns give the base spans: assignments to sensitive names, access
 keys and long hexadecimal runs. The method adds spans: strings of key-like
-characters up to ``REACH`` before or after a sensitive word are candidates,
-and each is measured by the bytes that it adds to the compressed surrounding
-text, with a dictionary of code and identifiers. Nothing but this measure
-decides, on strings of letters or digits alone too. A string that neither the dictionary nor its
-surroundings explain, at ``NOVELTY`` bytes a character or more, is reported.
+characters up to ``REACH`` before or after a sensitive word, cut at the words
+themselves, are candidates, and each is measured by the bytes that it adds to
+the compressed ``AROUND`` characters on either side, with a dictionary of code
+and identifiers. Nothing but this measure decides, on strings of letters or
+digits alone too: a string that neither the dictionary nor its surroundings
+explain, at ``NOVELTY`` bytes a character or more, is reported. One that a
+base span holds whole needs no second one; one that reaches beyond it does.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +35,7 @@ KINDS = ("assign", "access", "hex", "novel")
 CONTEXT = re.compile(r"password|passwd|passphrase|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|authorization|bearer|client[_ -]?id", re.IGNORECASE | re.ASCII)
 _CONTEXT_PARTS = ("passw", "passphrase", "secret", "token", "key", "credential", "authorization", "bearer", "client")
 #: Code points between a sensitive word and a candidate, and around it for its surroundings.
-REACH, AROUND = 48, 200
+REACH, AROUND = 48, 1500
 LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{LEAST},}}")
 NOVELTY = 0.6
@@ -67,7 +70,7 @@ class Novelty:
     def __init__(self) -> None:
         import zstandard
 
-        self._c = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(_DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False)
+        self._c = zstandard.ZstdCompressor(level=4, dict_data=zstandard.ZstdCompressionDict(_DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False)
 
     def __call__(self, before: str, candidate: str, after: str) -> float:
         around = (before + after).encode("utf-8", "replace")
@@ -78,6 +81,31 @@ class Novelty:
 _novelty: list[Novelty] = []
 
 
+def _candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Strings of key-like characters within ``REACH`` of a sensitive word.
+
+    Runs are split at the words themselves, so that pieces never overlap and
+    the work is linear in the text.
+    """
+    words = [m.span() for m in CONTEXT.finditer(text)]
+    if not words:
+        return
+    starts = [a for a, _ in words]
+    for run in CANDIDATE.finditer(text):
+        a, b = run.span()
+        k = bisect_left(starts, a)
+        if k and words[k - 1][1] > a:
+            a = min(b, words[k - 1][1])  # a word with a blank in it reaches into the run
+        while a < b:
+            end = min(b, starts[k]) if k < len(words) else b
+            near = k and a - words[k - 1][1] <= REACH or k < len(words) and starts[k] - end <= REACH
+            if near and end - a >= LEAST:
+                yield a, end
+            if end == b:
+                break
+            a, k = words[k][1], k + 1
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans in code points, by start, then kind."""
     low = text.lower()
@@ -90,22 +118,15 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     if any(p in low for p in _CONTEXT_PARTS):
         if not _novelty:
             _novelty.append(Novelty())
-        base, seen = list(spans), set()
-        runs = [m.span() for m in CANDIDATE.finditer(text)]
-        ends = [e for _, e in runs]
-        for word in CONTEXT.finditer(text) if runs else ():
-            for k in range(bisect_left(ends, word.start() - REACH), len(runs)):
-                a, b = runs[k]
-                if a > word.end() + REACH:
-                    break
-                for start, end in ((a, min(b, word.start())), (max(a, word.end()), b)):  # the parts before and after the word
-                    if end - start < LEAST or end < word.start() - REACH or start > word.end() + REACH:
-                        continue
-                    if (start, end) in seen or any(s < end and start < e for _, s, e in base):
-                        continue
-                    seen.add((start, end))
-                    if _novelty[0](text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]) >= NOVELTY:
-                        spans.append(("novel", start, end))
+        base = sorted((s, e) for _, s, e in spans)
+        starts = [s for s, _ in base]
+        reach = list(accumulate((e for _, e in base), max))
+        for start, end in _candidates(text):
+            k = bisect_right(starts, start)
+            if k and reach[k - 1] >= end:
+                continue  # a base span says as much
+            if _novelty[0](text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]) >= NOVELTY:
+                spans.append(("novel", start, end))
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return spans
 
