@@ -28,9 +28,10 @@ from . import textkernel as K
 from .common import text_batches
 
 CAPACITY = 2048
-OPEN_BINS = 16384
-#: Pieces that wait and are placed longest first.
-LOOKAHEAD = 16384
+OPEN_BINS = 1024
+#: Pieces that wait and are placed longest first. Many more than the open
+#: sequences would fill all of these with long pieces before the short ones come.
+LOOKAHEAD = 1024
 #: Pre-tokens held by one worker.
 MEMO = 1_000_000
 
@@ -157,6 +158,7 @@ class BestFit:
         self.capacity, self.bins, self.next = capacity, bins, first
         self.bits = 0
         self.open = 0
+        self.closed = 0  # for want of a place
         self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
 
     def place(self, length: int) -> tuple[int, int]:
@@ -167,6 +169,7 @@ class BestFit:
         else:
             if self.open >= self.bins and length < self.capacity:
                 self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
+                self.closed += 1
             free, seq = self.capacity, self.next
             self.next += 1
         left = free - length
