@@ -420,6 +420,44 @@ def test_best_fit_is_best_and_bounded():
     assert fit.place(4) == (2, 5)
 
 
+def naive_best_fit(lengths, capacity, bins):
+    """Sequences and early closes, by looking at every open sequence."""
+    opened, made, closed = [], 0, 0
+    for n in lengths:
+        room = [f for f in opened if f >= n]
+        if room:
+            opened.remove(min(room))
+            free = min(room)
+        else:
+            if len(opened) == bins and n < capacity:
+                opened.remove(min(opened))
+                closed += 1
+            free, made = capacity, made + 1
+        if free > n:
+            opened.append(free - n)
+    return made, closed
+
+
+@pytest.mark.parametrize("bins", [3, 20, 500])
+def test_best_fit_by_brute_force(bins):
+    r = random.Random(bins)
+    lengths = [min(200, int(r.expovariate(1 / 60)) + 1) for _ in range(3000)]
+    fit = packing.BestFit(200, bins)
+    for n in lengths:
+        fit.place(n)
+    assert (fit.next, fit.closed) == naive_best_fit(lengths, 200, bins) and fit.open <= bins
+
+
+def test_bound_acts_and_costs_little():
+    r = random.Random(9)
+    lengths = [min(packing.CAPACITY, int(r.lognormvariate(5.5, 1.2)) + 1) for _ in range(20_000)]
+    fit = packing.BestFit()
+    for i in range(0, len(lengths), packing.LOOKAHEAD):
+        for n in sorted(lengths[i : i + packing.LOOKAHEAD], reverse=True):
+            fit.place(n)
+    assert fit.closed > 0 and fit.next <= 1.005 * -(-sum(lengths) // packing.CAPACITY)
+
+
 def test_encoder_beyond_its_memo(monkeypatch):
     from tokenizers import Tokenizer
 
