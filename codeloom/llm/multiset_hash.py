@@ -2,11 +2,13 @@
 
 A paragraph (a line with words) is hashed to a wide vector, and a document's
 state is the sum of its paragraphs' vectors, each lane modulo a power of two:
-``EQUAL`` lanes modulo 2^64 are pseudo-random functions of the whole
-paragraph and decide equality; ``LIKE`` lanes modulo 2^16 sum +1 and -1 for
-the paragraph's word pairs, so that inner products of states estimate shared
-pairs (a tug-of-war sketch). Order doesn't matter, and a paragraph is put in
-or taken out by adding or subtracting its vector: ``combine``.
+``EQUAL`` lanes modulo 2^64 are words of a keyed 256-bit digest of the
+paragraph's bytes (from its first word to its last) and decide equality;
+``LIKE`` lanes modulo 2^32 sum +1 and -1 for the paragraph's word pairs, so
+that inner products of states estimate shared pairs (a tug-of-war sketch); no
+text that fits a row has enough pairs for these to wrap. Order doesn't matter,
+and a paragraph is put in or taken out by adding or subtracting its vector:
+``combine``.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ from . import textkernel as K
 from .common import text_batches
 
 EQUAL, LIKE = 4, 128
+KEY = b"codeloom paragraph"
 #: Rows that one range of ids should hold, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 8192, 4096
+RANGE_ROWS, MOST_RANGES = 8192, 16384
+#: Rows of the least range that is made so that all cores have work.
+LEAST_ROWS = 256
 _LINE = K.byte_class(lambda b: b not in (10, 13))
 
 
@@ -43,11 +48,13 @@ def states(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     new = np.r_[True, line_of[1:] != line_of[:-1]]
     new[bounds[:-1][np.diff(bounds) > 0]] = True
     begin = np.flatnonzero(new)
-    place = np.arange(len(words)) - np.repeat(begin, np.diff(np.r_[begin, len(words)]))
-    whole = K.mix(np.add.reduceat(K.mix(words + place.astype(K.U) * K.U(0x9E3779B97F4A7C15)), begin))
+    last = np.r_[begin[1:], len(words)] - 1
+    data = raw.tobytes()
+    digests = b"".join(hashlib.blake2b(data[a:b], digest_size=8 * EQUAL, key=KEY).digest() for a, b in zip(starts[begin].tolist(), ends[last].tolist()))
+    whole = np.frombuffer(digests, "<u8").reshape(-1, EQUAL)
     per_text = np.searchsorted(begin, bounds)
     for j in range(EQUAL):
-        equal[:, j] = K.reduce_segments(np.add, K.mix(whole + K.U((j + 1) * 0xD6E8FEB86659FD93 % 2**64)), per_text, K.U(0))
+        equal[:, j] = K.reduce_segments(np.add, np.ascontiguousarray(whole[:, j]), per_text, K.U(0))
     # word pairs within a line; a line of one word has that word
     nxt = np.r_[words[1:], K.U(0)]
     final = np.r_[new[1:], True]
@@ -74,13 +81,13 @@ def states(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def render(equal: np.ndarray, like: np.ndarray) -> list[str]:
     """Fingerprints: the lanes, little-endian, in base64."""
-    rows = np.concatenate([equal.astype("<u8").view(np.uint8).reshape(len(equal), -1), like.astype("<i8").astype("<i2").view(np.uint8).reshape(len(like), -1)], axis=1)
+    rows = np.concatenate([equal.astype("<u8").view(np.uint8).reshape(len(equal), -1), like.astype("<i8").astype("<i4").view(np.uint8).reshape(len(like), -1)], axis=1)
     return [base64.b64encode(r.tobytes()).decode() for r in rows]
 
 
 def parse(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = base64.b64decode(fingerprint)
-    return np.frombuffer(raw[: 8 * EQUAL], "<u8").astype(np.uint64), np.frombuffer(raw[8 * EQUAL :], "<i2").astype(np.int64)
+    return np.frombuffer(raw[: 8 * EQUAL], "<u8").astype(np.uint64), np.frombuffer(raw[8 * EQUAL :], "<i4").astype(np.int64)
 
 
 def combine(fingerprint: str, other: str, sign: int = 1) -> str:
@@ -91,13 +98,13 @@ def combine(fingerprint: str, other: str, sign: int = 1) -> str:
 
 
 def likeness(e: np.ndarray, x: np.ndarray, f: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Row by row: 1 for equal states, else the estimated Dice coefficient of
-    the word pairs, between 0 and 1."""
-    x, y = x.astype(np.int16).astype(np.float64), y.astype(np.int16).astype(np.float64)
+    """Row by row: 1 for equal states, else an estimate, below 1, of the Dice
+    coefficient 2 fg / (ff + gg) of the word pairs' frequencies f and g."""
+    same = (e == f).all(1) & (x == y).all(1)
+    x, y = x.astype(np.float64), y.astype(np.float64)
     total = (x * x).sum(1) + (y * y).sum(1)
     dice = np.divide(2 * (x * y).sum(1), total, out=np.zeros(len(x)), where=total > 0)
-    same = (e == f).all(1) & (x == y).all(1)
-    return np.where(same, 1.0, np.clip(dice, 0.0, 1.0))
+    return np.where(same, 1.0, np.clip(dice, 0.0, 1.0 - 1e-6))
 
 
 def _states_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,9 +177,11 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     order of their text. Null texts are empty. A table of one row is its own
     next; an empty one gives no rows. Other columns are ignored.
 
-    The order needs one shuffle of the texts, by ranges of ids from sampled
-    quantiles; a range is streamed and never held whole. Only range borders,
-    at most ``MOST_RANGES``, come to the driver.
+    The order needs one shuffle of the texts, by ranges of ids from approximate
+    quantiles, a partition each; a range is sorted on disk where it must be,
+    streamed and never held whole. Only range borders, at most
+    ``MOST_RANGES``, come to the driver. Ids are meant to be few rows each: all
+    rows of one id fall in one range, whose task then streams them.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -180,7 +189,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     least = -(1 << 63)
     ids = docs.select(F.coalesce("doc_id", F.lit(least)).alias("id"))
     rows = ids.count()
-    wanted = min(MOST_RANGES, max(1, -(-rows // RANGE_ROWS)))
+    wanted = min(MOST_RANGES, max(1, -(-rows // RANGE_ROWS), min(2 * spark.sparkContext.defaultParallelism, rows // LEAST_ROWS)))
     splits: list[int] = []
     if wanted > 1:
         splits = sorted(set(ids.agg(F.percentile_approx("id", [i / wanted for i in range(1, wanted)], 10 * wanted)).first()[0]))
@@ -206,4 +215,4 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
         "doc_id",
         "text",
     )
-    return placed.repartition("range").sortWithinPartitions("range", "tail", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).mapInArrow(_edits, EDIT_SCHEMA)
+    return placed.repartitionById(len(splits) + 1, "range").sortWithinPartitions("range", "tail", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).mapInArrow(_edits, EDIT_SCHEMA)
