@@ -275,6 +275,50 @@ def test_multiset_is_order_free_and_incremental(spark):
     assert multiset_hash.combine(fp[1], fp[4]) == fp[5]
 
 
+def state_of(*texts):
+    return multiset_hash._states_of(list(texts))
+
+
+def test_likeness_of_many_repeats():
+    e, x = state_of("foo bar\n" * 65_536, "foo bar\n" * 65_535, "foo bar\n" * 65_536)
+    near = multiset_hash.likeness(e[[0, 0]], x[[0, 0]], e[[1, 2]], x[[1, 2]])
+    assert 0.999 < near[0] < 1.0 and near[1] == 1.0
+    assert np.abs(x).max() == 65_536
+    back = [multiset_hash.parse(f) for f in multiset_hash.render(e, x)]
+    assert all((f == e[i]).all() and (y == x[i]).all() for i, (f, y) in enumerate(back))
+
+
+def test_likeness_against_exact_dice():
+    r, errors = random.Random(3), []
+    for i in range(120):
+        a = [words(i, 12, 200) for _ in range(1)] + [words(1000 + 20 * i + k, r.randint(3, 25), 300) for k in range(8)]
+        b = [p if r.random() < r.choice([0.2, 0.8]) else words(90_000 + 20 * i + k, r.randint(3, 25), 300) for k, p in enumerate(a)]
+        f, g = ({}, {})
+        for lines, count in ((a, f), (b, g)):
+            for line in lines:
+                w = line.split()
+                for pair in zip(w, w[1:]):
+                    count[pair] = count.get(pair, 0) + 1
+        exact = 2 * sum(n * g.get(p, 0) for p, n in f.items()) / (sum(n * n for n in f.values()) + sum(n * n for n in g.values()))
+        e, x = state_of("\n".join(a), "\n".join(b))
+        errors.append(multiset_hash.likeness(e[:1], x[:1], e[1:], x[1:])[0] - exact)
+    assert np.abs(errors).max() < 0.35 and np.sqrt(np.mean(np.square(errors))) < 0.1
+
+
+def test_equal_lanes_tell_order_within_a_paragraph_and_blanks_apart():
+    e, _ = state_of("a b\nc d", "c d\r\n  a b  ", "b a\nc d", "a  b\nc d", "a b c d", "")
+    assert (e[0] == e[1]).all() and all((e[0] != e[k]).any() for k in (2, 3, 4)) and not e[5].any()
+
+
+def test_edits_with_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(multiset_hash, "LEAST_ROWS", 5)
+    rows = [(i, words(i, 20)) for i in range(60)]
+    got = {r.doc_id: r for r in multiset_hash.edit_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (i, t) in enumerate(rows):
+        n, nxt = len(t), rows[(k + 1) % 60][1]
+        assert got[i].edited_sha256 == hashlib.sha256((t[: n - n // 2] + nxt[: n // 2]).encode()).hexdigest()
+
+
 @pytest.mark.parametrize("ranges", [1, 5])
 def test_edits_by_brute_force(spark, monkeypatch, ranges):
     monkeypatch.setattr(multiset_hash, "RANGE_ROWS", 40 // ranges)
