@@ -1,18 +1,24 @@
 """Mixing sources to target weights by Pareto order sampling (native).
 
-Every document expects ``target / source size`` copies (times its relative
-``boost``, where a column gives one). Whole copies are certain; the broken
-part p is an inclusion chance, decided by Pareto order sampling: documents are
-ranked by random odds over inclusion odds, u / (1 - u) : p / (1 - p), and the
-source takes them in that order until its words are used up. The sample is of
-fixed size in words, not in documents, so that a source comes within a small
-document of its target: ``ROUNDS - 1`` rounds take the longest prefix that
-fits, each among the documents that still fit into what is left, and the last
-takes a document more if that comes nearer.
-
-No source is ever sorted in one task: the place where a prefix ends is found
-with histograms over 12 and then 24 bits of the rank, and only the rows of one
-of 2^24 cells are put in order.
+Every document expects some copies: a number in proportion to its odds, so
+that its source's words are expected to reach the target, but ``MOST`` at
+most. Whole copies are certain; the broken part p is an inclusion chance,
+decided by Pareto order sampling: documents are ranked by random odds over
+inclusion odds, u / (1 - u) : p / (1 - p), and the source takes them in that
+order until its words are used up. Chances are unequal within a source: the
+odds are the fourth root of the size, down to a power of two, unless a column
+gives other ones.
+
+The sample is of fixed size in words, not in documents: the prefix that fits
+ends within one document of the target, and the rest, smaller than that one
+document, is filled from those left out, by size: of each size the document of
+the lowest rank, the largest size that still fits first, and then one that is
+a little too large, if that comes nearer. A source's fills are fewer than the
+root of twice that rest; all others are taken by their rank.
+
+No source is ever sorted in one task: the place where its prefix ends is found
+with a histogram over 16 bits of the rank, and only the rows of one of these
+cells are put in order.
 """
 
 from __future__ import annotations
@@ -25,155 +31,188 @@ from .common import Scratch, within
 
 #: No document is taken more often.
 MOST = 3
-#: Rounds in which a source's remaining words are filled.
-ROUNDS = 4
+#: Cells of the histogram over ranks in [0, 1).
+CELLS = 65536
 WORD = r"[^\x20\x09-\x0D]+"
+_BLANK = " \t\n\x0b\x0c\r"
 
 
 def word_count(text: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Words of a text; one byte a word is held, not the words."""
+    return F.coalesce(F.octet_length(F.translate(F.regexp_replace(text, WORD, "a"), _BLANK, "")), F.lit(0)).cast("long")
 
 
-def allocate(totals: DataFrame, most: float = MOST) -> DataFrame:
-    """Adds ``target`` to totals (key, size, weight): shares of all sizes by
-    weight, none above ``most`` times its size, the excess reshared by weight.
+def size_odds(size: str = "_size") -> Column:
+    """1024 times the fourth root of the size rounded down to a power of two."""
+    power = F.pow(F.lit(2.0), F.char_length(F.bin(size)) - 1)
+    return F.round(F.sqrt(F.sqrt(power)) * 1024).cast("long")
+
+
+def column_odds(column: str) -> Column:
+    """1024 times the column rounded to the nearest 2^(k/8), from 2^-10 to
+    2^20; null, zero and less count as 1."""
+    x = F.col(column).cast("double")
+    eighths = F.round(F.least(F.lit(20.0), F.greatest(F.lit(-10.0), F.log2(F.when(x > 0, x).otherwise(1.0)))) * 8)
+    return F.round(F.pow(F.lit(2.0), eighths / 8) * 1024).cast("long")
+
+
+def allocate(totals: DataFrame, most: float = MOST, within_key: list[str] | None = None, total: Column | None = None) -> DataFrame:
+    """Adds ``target`` to totals (key, size, weight): shares of ``total`` (all
+    sizes, by default) by weight, none above ``most`` times its size, the
+    excess reshared by weight. With ``within_key``, each group for itself.
 
     The repeated resharing ends at min(cap, level * weight) for one level; it
-    is found in one pass over the sources in order of cap / weight.
+    is found in one pass over the rows in order of cap / weight.
     """
     cap = F.lit(float(most)) * F.col("size")
-    everything = W.partitionBy(F.lit(0))
+    everything = W.partitionBy(*(within_key or [F.lit(0)]))
     order = everything.orderBy("ratio", "key")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     t = (
         totals.withColumn("cap", cap)
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("left", F.sum("size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("rest", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", F.when(F.col("left") / F.col("rest") <= F.col("ratio"), F.col("left") / F.col("rest")))
+        .withColumn("ratio", F.coalesce(F.try_divide("cap", "weight"), F.lit(0.0)))
+        .withColumn("left", (F.sum("size").over(everything) if total is None else total) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
+        .withColumn("rest", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
+        .withColumn("level", F.try_divide("left", "rest"))
+        .withColumn("level", F.when(F.col("level") <= F.col("ratio"), F.col("level")))
         .withColumn("level", F.max("level").over(everything))  # they fall after the first
     )
     return t.withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))).select(*totals.columns, "target")
 
 
 def _by_source(rows: DataFrame, small: DataFrame, on: list[str], few: bool) -> DataFrame:
-    """Equi-join with a table of at most one row a source; broadcast where the
-    sources have been counted and are few."""
+    """Equi-join with a table of a few rows a source; broadcast where these
+    have been counted and are few."""
     return rows.join(F.broadcast(small) if few else small, on)
 
 
-def _cut(rows: DataFrame, budget: DataFrame, half: bool, few: bool) -> DataFrame:
-    """(key, cut, also) per source: the first candidate (v, id) that overruns.
+def _cut(rows: DataFrame, budget: DataFrame, few: bool) -> DataFrame:
+    """(key, cut) per source: the first candidate (v, id) that overruns.
 
-    rows: key, v in [0, 1), id, size. Taken is the longest prefix in order of
-    (v, id) whose words fit ``budget`` (key, gap); ``also`` says whether the
-    cut itself is taken: with ``half``, if no more than half of it is over. A
-    null cut takes all.
+    rows: key, v in [0, 1), id, size. What comes before it in order of (v, id)
+    is the longest prefix whose words fit ``budget`` (key, gap). A null cut
+    takes all.
     """
     run = lambda *by: W.partitionBy("key").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
     over = F.col("before") + F.col("size") > F.col("gap")
-
-    def first(hist: DataFrame, start: DataFrame, cell: str) -> DataFrame:
-        """The cell of each source in which its budget ends, and words before it."""
-        h = hist.join(start, "key").withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(run(cell)), F.lit(0)))
-        h = h.filter(over).groupBy("key", "gap").agg(F.min(F.struct(cell, "before")).alias("at"))
-        return h.select("key", "gap", F.col(f"at.{cell}").alias(cell), F.col("at.before").alias("base"))
-
-    start = budget.select("key", "gap", F.lit(0).cast("long").alias("base"))
-    coarse = rows.withColumn("c1", F.floor(F.col("v") * 4096))
-    one = first(coarse.groupBy("key", "c1").agg(F.sum("size").alias("size")), start, "c1")
-    fine = _by_source(coarse, one.select("key", "c1"), ["key", "c1"], few).withColumn("c2", F.floor(F.col("v") * 16777216))
-    two = first(fine.groupBy("key", "c2").agg(F.sum("size").alias("size")), one.select("key", "gap", "base"), "c2")
-    cell = _by_source(fine, two, ["key", "c2"], few)
-    also = (F.col("before") + F.col("size") / 2 <= F.col("gap")) if half else F.lit(False)
-    ends = (
-        cell.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(run("v", "id")), F.lit(0)))
-        .filter(over)
-        .groupBy("key")
-        .agg(F.min(F.struct(F.struct("v", "id").alias("cut"), also.alias("also"))).alias("end"))
-        .select("key", "end.cut", "end.also")
-    )
-    return budget.select("key").join(ends, "key", "left")
+    rows = rows.withColumn("cell", F.floor(F.col("v") * CELLS))
+    hist = rows.groupBy("key", "cell").agg(F.sum("size").alias("size")).join(budget, "key")
+    hist = hist.withColumn("before", F.coalesce(F.sum("size").over(run("cell")), F.lit(0))).filter(over)
+    first = hist.groupBy("key", "gap").agg(F.min(F.struct("cell", "before")).alias("at")).select("key", "gap", "at.cell", F.col("at.before").alias("base"))
+    inside = _by_source(rows, first, ["key", "cell"], few).withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(run("v", "id")), F.lit(0)))
+    ends = inside.filter(over).groupBy("key").agg(F.min(F.struct("v", "id")).alias("cut"))
+    return budget.join(ends, "key", "left").select("key", "cut")
 
 
 def _key() -> Column:
     return F.when(F.col("source").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
 
 
-def _with_chances(rows: DataFrame, most: int) -> DataFrame:
-    """Adds whole copies, the chance p of one more, and the rank v in [0, 1)."""
-    rows = rows.withColumn("_want", F.least(F.lit(float(most)), F.col("_wish") * F.col("_per_word")))
+def _with_ranks(rows: DataFrame) -> DataFrame:
+    """Adds whole copies, the rank v in [0, 1) for one more, and whether there may be one."""
     rows = rows.withColumn("_whole", F.floor(F.col("_want") + 1e-12).cast("long")).withColumn("_p", F.greatest(F.lit(0.0), F.col("_want") - F.col("_whole")))
     low, high = F.col("_u") * (1 - F.col("_p")), F.col("_p") * (1 - F.col("_u"))
-    return rows.withColumn("_v", low / (low + high)).withColumn("_open", (F.col("_p") > 0) & (F.col("_size") > 0)).withColumn("_extra", F.lit(False))
+    return rows.withColumn("_v", low / (low + high)).withColumn("_open", (F.col("_p") > 0) & (F.col("_size") > 0))
 
 
-def _free(r: int) -> Column:
-    """Whether a row is a candidate of round r; gap and cuts are its source's."""
-    fits = F.lit(True) if r == 0 else F.col("_size") / (2 if r == ROUNDS - 1 else 1) <= F.col(f"_gap{r}")
-    return F.col("_open") & ~F.col("_extra") & (F.col(f"_gap{r}") > 0) & fits
+def _place() -> Column:
+    return F.struct(F.col("_v").alias("v"), F.col("_id").alias("id"))
 
 
-def _decide(rows: DataFrame, r: int) -> DataFrame:
-    place, cut = F.struct(F.col("_v").alias("v"), F.col("_id").alias("id")), F.col(f"_cut{r}")
-    take = _free(r) & (cut.isNull() | (place < cut) | (F.col(f"_also{r}") & (place == cut)))
-    return rows.withColumn("_extra", F.col("_extra") | take)
+def _in_prefix() -> Column:
+    return F.col("_open") & (F.col("_gap") > 0) & (F.col("_cut").isNull() | (_place() < F.col("_cut")))
 
 
-def mixed(docs: DataFrame, weights: DataFrame | None = None, most: int = MOST, boost: str | None = None, seed: str = "mix") -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target and mix_copies.
+def _filled() -> Column:
+    return F.col("_open") & F.coalesce(F.array_contains("_fills", _place()), F.lit(False))
 
-    docs: doc_id, text, source (and ``boost``, a positive number) and any
-    other columns, which stay. weights: source, weight > 0 (sources that it
-    lacks are left out); without it sources in code-point order, null last,
-    weigh 1, 2, 3, repeating. A null source is a source of its own. Null and
-    empty texts have size 0 and get whole copies only. Rows that repeat an id
-    share its random number and are decided alike. The random number is the
-    md5 of ``seed`` and the id, so reruns agree. An empty table gives no rows.
 
-    The decisions are a few numbers per source, so texts are never shuffled.
+def _fill(rest: DataFrame, left: DataFrame) -> DataFrame:
+    """(_key, _fills): places of the documents that fill ``_rest``.
+
+    left: _key, _size, doc; one document for each size. A source's array has
+    its distinct sizes below twice the rest, which is under one document's
+    size, so it is bounded by the words of the longest text.
+    """
+    sizes = left.groupBy("_key").agg(F.sort_array(F.collect_list("_size"), asc=False).alias("sizes")).join(rest.select("_key", "_rest"), "_key")
+    none = F.array().cast("array<bigint>")
+    take = lambda s, x: F.struct((s["rest"] - x).alias("rest"), F.concat(s["chosen"], F.array(x)).alias("chosen"))
+    greedy = F.aggregate("sizes", F.struct(F.col("_rest").alias("rest"), none.alias("chosen")), lambda s, x: F.when(x <= s["rest"], take(s, x)).otherwise(s))
+    done = sizes.withColumn("done", greedy)
+    over = F.array_min(F.filter("sizes", lambda x: (x > F.col("done.rest")) & (x < 2 * F.col("done.rest")) & ~F.array_contains("done.chosen", x)))
+    chosen = done.select("_key", F.explode(F.concat("done.chosen", F.when(over.isNull(), none).otherwise(F.array(over)))).alias("_size"))
+    return chosen.join(left, ["_key", "_size"]).groupBy("_key").agg(F.collect_list("doc").alias("_fills"))
+
+
+class Mix:
+    """Sizes and random numbers of all documents, and the few numbers a source
+    that decide how often each is taken."""
+
+    def __init__(self, docs: DataFrame, weights: DataFrame | None = None, most: int = MOST, odds: str | None = None, seed: str = "mix"):
+        scratch = Scratch(docs.sparkSession, "source-mix")
+        digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12)
+        u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
+        self.own = {"_key": _key(), "_size": word_count("text"), "_odds": column_odds(odds) if odds else F.lit(0).cast("long"), "_u": u, "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))}
+        self.by_size = odds is None
+        self.sized = scratch.write(self._own(docs, [F.col("doc_id")]), "sized")
+
+        classes = self.sized.groupBy(F.col("_key").alias("source"), F.col("_odds").alias("key")).agg(F.sum("_size").alias("size"))
+        classes = scratch.write(classes, "classes")  # at most some 240 rows a source
+        totals = classes.groupBy(F.col("source").alias("key")).agg(F.sum("size").alias("size"))
+        if weights is None:
+            place = F.row_number().over(W.orderBy("key")) - 1  # '=' sorts before '~'; one row a source
+            totals = totals.withColumn("weight", (place % 3 + 1).cast("double"))
+        else:
+            totals = totals.join(weights.select(_key().alias("key"), F.col("weight").cast("double").alias("weight")), "key").filter("weight > 0")
+        goal = allocate(totals, most).select(F.col("key").alias("source"), F.col("size").alias("_source_size"), F.col("target").alias("_target"))
+        shares = classes.join(goal, "source").withColumn("weight", F.col("key") * F.col("size"))
+        shares = allocate(shares, most, ["source"], F.col("_target"))
+        want = F.when(F.col("size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("size"))).otherwise(0.0)
+        self.plan = scratch.write(
+            shares.select(F.col("source").alias("_key"), F.col("key").alias("_odds"), F.col("size").alias("_class_size"), "_source_size", "_target", want.alias("_want")), "plan"
+        )
+        self.few = within(self.plan, 50_000)
+        sure = F.sum(F.col("_class_size") * F.floor(F.col("_want") + 1e-12).cast("long"))
+        gaps = scratch.write(self.plan.groupBy("_key").agg((F.first("_target") - sure).alias("_gap")), "gaps")
+        ranked = _with_ranks(_by_source(self.sized, self.plan, ["_key", "_odds"], self.few))
+        open_rows = ranked.filter("_open").select(F.col("_key").alias("key"), F.col("_v").alias("v"), F.col("_id").alias("id"), F.col("_size").alias("size"))
+        cuts = _cut(open_rows, gaps.filter("_gap > 0").select(F.col("_key").alias("key"), F.col("_gap").alias("gap")), self.few)
+        cuts = scratch.write(gaps.join(cuts.select(F.col("key").alias("_key"), F.col("cut").alias("_cut")), "_key", "left"), "cuts")
+        used = _by_source(ranked, cuts, ["_key"], self.few).filter(_in_prefix()).groupBy("_key").agg(F.sum("_size").alias("used"))
+        rest = scratch.write(cuts.join(used, "_key", "left").withColumn("_rest", F.col("_gap") - F.coalesce("used", F.lit(0))).drop("used"), "rest")
+        left = _by_source(ranked, rest.filter("_rest > 0"), ["_key"], self.few).filter(F.col("_open") & ~_in_prefix() & (F.col("_size") < 2 * F.col("_rest")))
+        left = scratch.write(left.groupBy("_key", "_size").agg(F.min(_place()).alias("doc")), "left")
+        self.cuts = scratch.write(rest.join(_fill(rest, left), "_key", "left").drop("_rest"), "decided")
+
+    def _own(self, docs: DataFrame, more: list[Column]) -> DataFrame:
+        rows = docs.select(*more, *(c.alias(n) for n, c in self.own.items()))
+        return rows.withColumn("_odds", size_odds()) if self.by_size else rows
+
+    def decide(self, rows: DataFrame) -> DataFrame:
+        """rows with their own numbers, their source's, and ``_copies``."""
+        rows = _by_source(_with_ranks(_by_source(rows, self.plan, ["_key", "_odds"], self.few)), self.cuts, ["_key"], self.few)
+        # the explode keeps filters on the result from being unfolded into all these terms
+        return rows.withColumn("_copies", F.explode(F.array(F.col("_whole") + (_in_prefix() | _filled()).cast("long"))))
+
+
+def mixed(docs: DataFrame, weights: DataFrame | None = None, most: int = MOST, odds: str | None = None, seed: str = "mix") -> DataFrame:
+    """docs with mix_size, mix_source_size, mix_target and mix_copies.
+
+    docs: doc_id, text, source (and ``odds``, a positive number) and any other
+    columns, which stay. weights: source, weight > 0 (sources that it lacks
+    are left out); without it sources in code-point order, null last, weigh 1,
+    2, 3, repeating. A null source is a source of its own. Null and empty
+    texts have size 0; they get whole copies only, none where all texts of
+    their odds are empty. Rows that repeat an id share its random number;
+    those of one size are decided alike. The random number is the md5 of
+    ``seed`` and the id, so reruns agree. An empty table gives no rows.
+
+    The decisions are a few numbers per source, so texts are never shuffled;
+    they are read once for the sizes and once for the result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "source-mix")
-    wish = F.coalesce(F.col(boost).cast("double"), F.lit(1.0)) if boost else F.lit(1.0)
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12)
-    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
-    own = {"_key": _key(), "_size": word_count("text"), "_wish": wish, "_u": u, "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))}
-    sized = scratch.write(docs.select(*(c.alias(n) for n, c in own.items())), "sized")
-    totals = sized.groupBy(F.col("_key").alias("key")).agg(F.sum("_size").alias("size"), F.sum(F.col("_size") * F.col("_wish")).alias("wished"))
-    if weights is None:
-        place = F.row_number().over(W.orderBy("key")) - 1  # '=' sorts before '~'; one row a source
-        totals = totals.withColumn("weight", (place % 3 + 1).cast("double"))
-    else:
-        totals = totals.join(weights.select(_key().alias("key"), F.col("weight").cast("double").alias("weight")), "key").filter("weight > 0")
-    per_word = F.when(F.col("wished") > 0, F.col("target") / F.col("wished")).otherwise(0.0)
-    plan = allocate(totals, most).select(F.col("key").alias("_key"), F.col("size").alias("_source_size"), F.col("target").alias("_target"), per_word.alias("_per_word"))
-    plan = scratch.write(plan, "plan")
-    few = within(plan, 50_000)
-    sure = _with_chances(_by_source(sized, plan, ["_key"], few), most).groupBy("_key").agg(F.sum(F.col("_size") * F.col("_whole")).alias("sure"))
-    plan = scratch.write(plan.join(sure, "_key").withColumn("_gap0", F.col("_target") - F.col("sure")).drop("sure"), "plan0")
-    for r in range(ROUNDS):
-        rows = _with_chances(_by_source(sized, plan, ["_key"], few), most)
-        for q in range(r):
-            rows = _decide(rows, q)
-        open_rows = rows.filter(_free(r)).select(F.col("_key").alias("key"), F.col("_v").alias("v"), F.col("_id").alias("id"), F.col("_size").alias("size"))
-        cuts = _cut(open_rows, plan.select(F.col("_key").alias("key"), F.col(f"_gap{r}").alias("gap")), half=r == ROUNDS - 1, few=few)
-        cuts = cuts.select(F.col("key").alias("_key"), F.col("cut").alias(f"_cut{r}"), F.col("also").alias(f"_also{r}"))
-        plan = scratch.write(plan.join(cuts, "_key"), f"cuts{r}")
-        if r < ROUNDS - 1:
-            rows = _with_chances(_by_source(sized, plan, ["_key"], few), most)
-            for q in range(r + 1):
-                rows = _decide(rows, q)
-            used = rows.filter("_extra").groupBy("_key").agg(F.sum("_size").alias("used"))
-            gap = (F.col("_gap0") - F.coalesce("used", F.lit(0))).alias(f"_gap{r + 1}")
-            plan = scratch.write(plan.join(used, "_key", "left").select(*plan.columns, gap), f"plan{r + 1}")
+    m = Mix(docs, weights, most, odds, seed)
     names = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), *(c.alias(n) for n, c in own.items()))
-    rows = _with_chances(_by_source(rows, plan, ["_key"], few), most)
-    for r in range(ROUNDS):
-        rows = _decide(rows, r)
-    # the explode keeps filters on the result from being unfolded into all these terms
-    rows = rows.withColumn("_copies", F.explode(F.array(F.col("_whole") + F.col("_extra").cast("long"))))
+    rows = m.decide(m._own(docs, [F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")]))
     return rows.select(
         *(F.col(f"_row.`{c}`").alias(c) for c in names),
         F.col("_size").alias("mix_size"),
@@ -185,9 +224,16 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, most: int = MOST, b
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken (words, repeats
-    counted) of every row of docs; see ``mixed``."""
-    m = mixed(docs, **options)
-    return m.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_copies").alias("copies"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
+    counted) of every row of docs; see ``mixed``. Texts are read once."""
+    m = Mix(docs, **options)
+    return m.decide(m.sized).select(
+        "doc_id",
+        F.col("_size").alias("size"),
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        F.col("_copies").alias("copies"),
+        (F.col("_copies") * F.col("_size")).alias("taken"),
+    )
 
 
 #: The same in SQL, by whole sorts instead of histograms.
@@ -197,7 +243,10 @@ with recursive sized as (
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,
          (('0x' || md5('mix:' || coalesce(cast(doc_id as varchar), ''))[1:12])::bigint::double + 0.5) / 281474976710656.0 as u
   from documents),
-totals as (select key, cast(sum(size) as bigint) as size, (row_number() over (order by key) - 1) % 3 + 1.0::double as weight from sized group by key),
+graded as (
+  select *, cast(round(sqrt(sqrt(2.0::double ** (len(bin(size)) - 1))) * 1024) as bigint) as odds from sized),
+totals as (
+  select key, cast(sum(size) as bigint) as size, (row_number() over (order by key) - 1) % 3 + 1.0::double as weight from graded group by key),
 ordered as (
   select *, 3.0::double * size as cap, 3.0::double * size / weight as ratio from totals),
 levels as (
@@ -209,29 +258,46 @@ plan as (
   select key, size as source_size,
     least(cap, coalesce((select max(lvl) from levels where lvl <= ratio) * weight, cap)) as target
   from levels),
+classes as (
+  select key, odds, cast(sum(size) as bigint) as size, cast(odds * sum(size) as bigint) as weight from graded group by key, odds),
+class_ordered as (
+  select c.*, p.source_size, p.target, 3.0::double * c.size as cap, case when c.weight > 0 then 3.0::double * c.size / c.weight else 0.0 end as ratio from classes c join plan p using (key)),
+class_levels as (
+  select *,
+    (target - coalesce(sum(cap) over (partition by key order by ratio, odds rows between unbounded preceding and 1 preceding), 0))
+    / nullif((sum(weight) over (partition by key) - coalesce(sum(weight) over (partition by key order by ratio, odds rows between unbounded preceding and 1 preceding), 0))::double, 0) as lvl
+  from class_ordered),
 wants as (
-  select s.*, p.source_size, p.target, case when p.source_size > 0 then p.target / p.source_size else 0.0 end as want
-  from sized s join plan p using (key)),
+  select *, case when size > 0 then least(3.0, least(cap, coalesce(max(lvl) filter (lvl <= ratio) over (partition by key) * weight, cap)) / size) else 0.0 end as want
+  from class_levels),
 parts as (
-  select *, cast(floor(least(3.0, want) + 1e-12) as bigint) as whole,
-    greatest(0.0, least(3.0, want) - floor(least(3.0, want) + 1e-12)) as p from wants),
+  select g.doc_id, g.key, g.size, g.u, w.source_size, w.target,
+    cast(floor(w.want + 1e-12) as bigint) as whole, greatest(0.0, w.want - floor(w.want + 1e-12)) as p
+  from graded g join wants w on g.key = w.key and g.odds = w.odds),
 ranked as (
   select *, u * (1 - p) / (u * (1 - p) + p * (1 - u)) as v, p > 0 and size > 0 as free, coalesce(cast(doc_id as varchar), '') as id from parts),
-gap0 as (select key, max(target) - sum(size * whole) as gap from ranked group by key),
-r1 as (
-  select r.*, g.gap, free and g.gap > 0 and sum(size) filter (free) over (partition by key order by v, id) <= g.gap as in1
-  from ranked r join gap0 g using (key)),
-g1 as (select *, gap - coalesce(sum(size) filter (in1) over (partition by key), 0) as room1 from r1),
-r2 as (
-  select *, free and not in1 and room1 > 0 and size <= room1 as c2 from g1),
-s2 as (select *, c2 and sum(size) filter (c2) over (partition by key order by v, id) <= room1 as in2 from r2),
-g2 as (select *, room1 - coalesce(sum(size) filter (in2) over (partition by key), 0) as room2 from s2),
-r3 as (select *, free and not in1 and not in2 and room2 > 0 and size <= room2 as c3 from g2),
-s3 as (select *, c3 and sum(size) filter (c3) over (partition by key order by v, id) <= room2 as in3 from r3),
-g3 as (select *, room2 - coalesce(sum(size) filter (in3) over (partition by key), 0) as room3 from s3),
-r4 as (select *, free and not in1 and not in2 and not in3 and room3 > 0 and size / 2.0 <= room3 as c4 from g3),
-s4 as (select *, c4 and sum(size) filter (c4) over (partition by key order by v, id) - size / 2.0 <= room3 as in4 from r4)
+gaps as (select *, target - sum(size * whole) over (partition by key) as gap from ranked),
+prefix as (
+  select *, free and gap > 0 and sum(size) filter (free) over (partition by key order by v, id) <= gap as by_rank from gaps),
+rests as (select *, gap - coalesce(sum(size) filter (by_rank) over (partition by key), 0) as rest from prefix),
+left_out as (
+  select key, size, rest, v, id from rests where free and not by_rank and rest > 0 and size < 2 * rest
+  qualify row_number() over (partition by key, size order by v, id) = 1),
+greedy as (
+  select distinct key, rest, cast(null as bigint) as size from left_out
+  union all
+  select g.key, g.rest - n.size, n.size from greedy g, lateral (
+    select max(l.size) as size from left_out l where l.key = g.key and l.size <= g.rest and (g.size is null or l.size < g.size)) n
+  where n.size is not null),
+chosen as (select key, size from greedy where size is not null),
+done as (select key, min(rest) as rest from greedy group by key),
+fills as (
+  select key, size from chosen
+  union all
+  select l.key, min(l.size) from left_out l join done d using (key)
+  where l.size > d.rest and l.size < 2 * d.rest and not exists (select 1 from chosen c where c.key = l.key and c.size = l.size) group by l.key),
+filled as (select l.key, l.v, l.id from left_out l join fills f on l.key = f.key and l.size = f.size)
 select doc_id, cast(size as bigint) as size, cast(source_size as bigint) as source_size, target,
-  cast((whole + (in1 or in2 or in3 or in4)::int) * size as bigint) as taken
-from s4
+  cast((whole + (by_rank or free and f.id is not null)::int) * size as bigint) as taken
+from rests r left join filled f on r.key = f.key and r.v = f.v and r.id = f.id
 """
