@@ -202,6 +202,53 @@ def test_mix_inclusion_follows_the_chance(spark):
     assert {x.copies for x in low} == {0, 1}
 
 
+def test_mix_inclusion_by_size(spark):
+    """Within a source, copies follow the fourth root of the size, at most 3."""
+    sizes = [2, 16, 64, 300]
+    docs = spark.createDataFrame([(i, "w " * sizes[i % 4], "a" if i % 3 else "b") for i in range(3000)], "doc_id long, text string, source string")
+    runs = [source_mix.mix(docs, seed=s).collect() for s in ("one", "two", "three")]
+    for a in (True, False):
+        some = [x for x in runs[0] if (x.doc_id % 3 != 0) == a]
+        total = {n: sum(x.size for x in some if x.size == n) for n in sizes}
+        odds = {n: 2 ** ((n.bit_length() - 1) / 4) for n in sizes}
+        low, high = 0.0, 100.0
+        for _ in range(100):  # copies = min(3, level * odds), with the level that meets the target
+            level = (low + high) / 2
+            low, high = (level, high) if sum(total[n] * min(3, level * odds[n]) for n in sizes) < some[0].target else (low, level)
+        want = {n: min(3, level * odds[n]) for n in sizes}
+        assert max(want.values()) - min(want.values()) > 0.3
+        for n in sizes:
+            copies = [x.copies for run in runs for x in run if (x.doc_id % 3 != 0) == a and x.size == n]
+            assert abs(np.mean(copies) - want[n]) < 0.06 and set(copies) <= {int(want[n]), int(want[n]) + 1}, (n, want[n], np.mean(copies))
+    assert {x.doc_id: x.copies for x in runs[0]} != {x.doc_id: x.copies for x in runs[1]}
+
+
+def test_mix_odds_of_a_column(spark):
+    docs = spark.createDataFrame([(i, "w " * 20, "a" if i % 2 else "b", 8.0 if i % 4 < 2 else 1.0) for i in range(2000)], "doc_id long, text string, source string, good double")
+    good = {r.doc_id: r.good for r in docs.collect()}
+    got = [x for x in source_mix.mix(docs, odds="good").collect() if x.target < x.source_size]
+    high, low = (np.mean([x.copies for x in got if good[x.doc_id] == g]) for g in (8.0, 1.0))
+    assert abs(high / low - 8) < 1.5
+    assert source_mix.mix(docs.withColumn("good", F.lit(None).cast("double")), odds="good").count() == 2000
+
+
+def test_mix_fills_the_rest(spark):
+    r = random.Random(12)
+    rows = [(i, "w " * (3000 if i == 5 else r.randint(1, 60)), "a" if i % 2 else "b") for i in range(400)]
+    got = source_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for a in (0, 1):
+        mine = [x for x in got if x.doc_id % 2 == a]
+        assert abs(sum(x.taken for x in mine) - mine[0].target) <= 2, a
+
+
+def test_mix_in_small_cells(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (1 + i * 7 % 50), "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string")
+    want = sorted((x.doc_id, x.taken) for x in source_mix.mix(docs).collect())
+    monkeypatch.setattr(source_mix, "CELLS", 2)
+    assert sorted((x.doc_id, x.taken) for x in source_mix.mix(docs).collect()) == want
+    assert sorted((x.doc_id, x.mix_copies * x.mix_size) for x in source_mix.mixed(docs).collect()) == want
+
+
 def test_mix_awkward(spark, awkward):
     got = source_mix.mix(awkward).collect()
     assert len(got) == awkward.count() and all(x.taken <= 3 * x.size for x in got)
