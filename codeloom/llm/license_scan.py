@@ -2,35 +2,46 @@
 shingle containment (native).
 
 A template of L words is looked for in windows of 1.5 L words that start every
-0.5 L words, so some window covers any place where it stands. Windows and
-templates are sets of word shingles; the MinHash values of a window are single
-bands. A window that holds ``containment`` of a template has at least the
-Jaccard similarity ``_floor`` with it, and so many bands are taken that all of
-them miss with chance ``MISS`` at most. Retrieved pairs are confirmed by exact
-containment.
-
-Most texts hold no notice at all. A text can only match a template if it holds
-one of its anchor words: these are chosen so that the shingles without any of
-them are fewer than ``containment`` of the template. This test loses nothing.
+0.5 L words, so some window covers any place where it stands. Templates are
+short notices and whole license texts, so windows have from nine to thousands
+of words. Windows and templates are sets of word shingles; the MinHash values
+of a window are single bands. A window that holds ``containment`` of a
+template has at least the Jaccard similarity ``_floor`` with it, and so many
+bands are taken that all of them miss with chance ``MISS`` at most. Retrieved
+pairs are confirmed by exact containment.
+
+Most texts hold no license at all. A text can only match a template if it
+holds a word of each of its anchor sets: a set is chosen so that the shingles
+without any of its words are fewer than ``containment`` of the template, and
+long templates have several sets. This test loses nothing. Long texts go in
+chunks of ``CHUNK`` words with as many more as the longest window needs, so no
+row grows beyond a bound but the text's own words.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache, reduce
 from math import ceil, log
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import within
+from .common import BROADCAST_ROWS
 
 WIDTH = 3
 CONTAINMENT = 0.8
 #: Chance that all bands miss a window at the threshold.
 MISS = 1e-6
 
+#: Words of a chunk in which windows start.
+CHUNK = 8192
+#: Anchor sets of a template, at most.
+SETS = 4
+
 #: Short public notices by the name of their license.
-TEMPLATES = {
+NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "MIT": "Released under the MIT License.",
@@ -45,6 +56,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
 }
+#: Notices and whole texts; the latter are named by their SPDX id and ``text``.
+TEMPLATES = NOTICES | {f"{p.stem} text": p.read_text("utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 _COMMON = {"the", "a", "of", "to", "and", "or", "in", "is", "with", "under", "this", "at", "by", "be", "for", "you", "any", "it", "as", "on", "are", "not", "may", "that"}
 
 
@@ -57,20 +70,67 @@ def template_shingles(text: str, width: int = WIDTH) -> list[str]:
     return list(dict.fromkeys(" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))))
 
 
+@lru_cache(4096)
+def anchor_sets(text: str, containment: float = CONTAINMENT, width: int = WIDTH, most: int = SETS) -> tuple[tuple[str, ...], ...]:
+    """Disjoint sets of words; any text that holds ``containment`` of the
+    shingles has a word of each. At least one set, if the text has words."""
+    shingles = [set(s.split()) for s in template_shingles(text, width)]
+    allowed = ceil(containment * len(shingles)) - 1  # shingles that may lack the words of a set
+    used: set[str] = set()
+    out: list[tuple[str, ...]] = []
+    while len(out) < most:
+        left, chosen = shingles, []
+        while len(left) > allowed:
+            counts: dict[str, int] = {}
+            for s in left:
+                for w in s - used:
+                    counts[w] = counts.get(w, 0) + 1
+            if not counts:
+                break
+            best = max(counts, key=lambda w: (w not in _COMMON, min(len(w), 7), counts[w], len(w), w))
+            chosen.append(best)
+            used.add(best)
+            left = [s for s in left if best not in s]
+        if len(left) > allowed or out and (len(chosen) > 60 or _COMMON & set(chosen)):
+            break
+        out.append(tuple(sorted(chosen)))
+    return tuple(out)
+
+
 def anchors(text: str, containment: float = CONTAINMENT, width: int = WIDTH) -> list[str]:
     """Words one of which stands in any text that holds ``containment`` of the shingles."""
-    left = template_shingles(text, width)
-    allowed = ceil(containment * len(left)) - 1  # shingles that may lack anchors
+    return list(anchor_sets(text, containment, width, 1)[0])
+
+
+def joint_anchors(templates: list[str], containment: float = CONTAINMENT) -> list[str]:
+    """Few words, one of which stands in any text that may match any template."""
+    left = [[set(x.split()) for x in template_shingles(t)] for t in templates]
+    allowed = [ceil(containment * len(x)) - 1 for x in left]
     chosen: list[str] = []
-    while len(left) > allowed:
-        counts: dict[str, int] = {}
-        for s in left:
-            for w in set(s.split()):
-                counts[w] = counts.get(w, 0) + 1
-        best = max(counts, key=lambda w: (w not in _COMMON, min(len(w), 7), counts[w], len(w), w))
+    while any(len(x) > n for x, n in zip(left, allowed)):
+        gain: dict[str, float] = {}
+        for x, n in zip(left, allowed):
+            if len(x) > n:
+                counts: dict[str, int] = {}
+                for s in x:
+                    for w in s:
+                        counts[w] = counts.get(w, 0) + 1
+                for w, c in counts.items():
+                    gain[w] = gain.get(w, 0) + min(1.0, c / (len(x) - n))
+        best = max(gain, key=lambda w: (w not in _COMMON, len(w) > 6, gain[w], len(w), w))
         chosen.append(best)
-        left = [s for s in left if best not in s.split()]
-    return chosen
+        left = [[s for s in x if best not in s] for x in left]
+    return sorted(chosen)
+
+
+def _pattern(words: list[str]) -> str:
+    """An expression for any of the words, branching once a letter."""
+    tails: dict[str, list[str]] = {}
+    for w in words:
+        tails.setdefault(w[:1], []).append(w[1:])
+    parts = [re.escape(c) + (_pattern(t) if t != [""] else "") for c, t in sorted(tails.items()) if c]
+    inner = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+    return f"(?:{inner})?" if "" in tails and parts else inner if parts else ""
 
 
 def _floor(size: int, words: int, containment: float) -> float:
@@ -83,21 +143,41 @@ def _lowered(text: str) -> Column:
     return F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, list[tuple[int, int, int, list[str]]]]:
-    """Templates with their shingles and window length; the lengths as
-    (window, step, bands, anchors), with the most bands and all the anchors
-    that any template of it needs."""
+class _Kind:
+    """Templates with one window length: its step, bands and anchor sets."""
+
+    def __init__(self, window: int):
+        self.window, self.step, self.bands = window, 1 << 30, 1
+        self.sets: list[tuple[tuple[str, ...], ...]] = []
+
+    def possible(self, words: Column) -> Column:
+        """Whether an array of words may hold one of the templates."""
+        one = lambda sets: reduce(lambda a, b: a & b, (F.arrays_overlap(words, F.array(*map(F.lit, s))) for s in sets))
+        return reduce(lambda a, b: a | b, map(one, self.sets))
+
+
+def _kinds(templates: dict[str, str]) -> tuple[list[tuple[str, int, list[str]]], list[_Kind]]:
+    """(license, window, shingles) of each template with words, and the kinds."""
     rows, kinds = [], {}
     for name, text in templates.items():
         s, n = template_shingles(text), len(words_of(text))
         if not n:
             continue
-        window, step = max(WIDTH, ceil(1.5 * n)), max(1, n // 2)
-        bands = ceil(log(MISS) / log(1 - _floor(len(s), window, CONTAINMENT) + 1e-12))
-        old = kinds.get(window, (0, step, bands, []))
-        kinds[window] = (window, min(step, old[1]), max(bands, old[2]), sorted({*old[3], *anchors(text)}))
+        window = max(WIDTH, ceil(1.5 * n))
+        k = kinds.setdefault(window, _Kind(window))
+        k.step = min(k.step, max(1, n // 2))
+        k.bands = max(k.bands, ceil(log(MISS) / log(1 - _floor(len(s), window, CONTAINMENT) + 1e-12)))
+        sets = anchor_sets(text)
+        if sets not in k.sets:
+            k.sets.append(sets)
         rows.append((name, window, s))
-    return spark.createDataFrame(rows, "license string, window int, needed array<string>"), list(kinds.values())
+    return rows, list(kinds.values())
+
+
+def _bands(shingles: str, most: int) -> Column:
+    hashed = F.array(F.transform(shingles, lambda s: F.xxhash64(s)))  # bound to a variable: hashed once, not once a band
+    minima = lambda hs: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda j: F.array_min(F.transform(hs, lambda h: F.xxhash64(h, j))))
+    return F.transform(hashed, minima)[0]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -111,38 +191,42 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
-    table, kinds = template_table(spark, templates)
+    rows, kinds = _kinds(templates)
     if not kinds:
         return spark.createDataFrame([], "doc_id long, license string, first_word int, last_word int, containment double")
-    pieces = sorted({a for t in templates.values() if words_of(t) for a in anchors(t)})
-    kept = docs.select("doc_id", "text").filter(F.col("text").rlike(r"(?i)(?<![a-z0-9])(?:" + "|".join(pieces) + r")(?![a-z0-9])"))
-    kept = kept.select("doc_id", F.regexp_extract_all(_lowered("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w")).filter(F.size("w") > 0)
-
-    def windows(window: int, step: int, words: list[str]) -> Column:
-        """Windows with one of the anchors; the others can't match."""
-        last = F.greatest(F.lit(0), F.size("w") - F.lit(max(1, window - step)))
-        all_ = F.transform(
-            F.sequence(F.lit(0), last, F.lit(step)),
-            lambda i: F.struct(i.alias("first"), F.lit(window).alias("window"), F.slice("w", i + 1, window).alias("part")),
-        )
-        return F.filter(all_, lambda x: F.arrays_overlap(x["part"], F.array(*(F.lit(a) for a in words))))
-
-    spread = kept.select("doc_id", F.explode(F.concat(*(windows(w, s, a) for w, s, _, a in kinds))).alias("x")).select("doc_id", "x.first", "x.window", "x.part")
+    table = spark.createDataFrame(rows, "license string, window int, needed array<string>")
+    pieces = joint_anchors([t for t in templates.values() if words_of(t)])
+    kept = docs.select("doc_id", "text").filter(F.col("text").rlike(rf"(?i)(?<![a-z0-9]){_pattern(pieces)}(?![a-z0-9])"))
+    kept = kept.select("doc_id", F.regexp_extract_all(_lowered("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
+    longest = max(k.window for k in kinds)
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 1), F.lit(CHUNK)),
+        lambda i: F.struct(i.alias("at"), F.size("w").alias("n"), F.slice("w", i + 1, CHUNK + longest).alias("part")),
+    )
+    chunk = kept.select("doc_id", F.explode(chunks).alias("c")).select("doc_id", "c.at", "c.n", F.col("c.part").alias("w"))
+
+    def windows(k: _Kind) -> Column:
+        """Windows that start in the chunk and may match."""
+        first = F.ceil(F.col("at") / k.step).cast("int") * k.step
+        last = F.least(F.greatest(F.lit(0), F.col("n") - F.lit(max(1, k.window - k.step))), F.col("at") + CHUNK - 1)
+        starts = F.when(first <= last, F.sequence(first, F.greatest(first, last), F.lit(k.step))).otherwise(F.array().cast("array<int>"))
+        all_ = F.transform(starts, lambda i: F.struct(i.alias("first"), F.lit(k.window).alias("window"), F.slice("w", i - F.col("at") + 1, k.window).alias("part")))
+        return F.when(k.possible(F.col("w")), F.filter(all_, lambda x: k.possible(x["part"]))).otherwise(F.filter(all_, lambda x: F.lit(False)))
+
+    spread = chunk.select("doc_id", F.explode(F.concat(*map(windows, kinds))).alias("x")).select("doc_id", "x.first", "x.window", "x.part")
     shingles = F.array_distinct(
         F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("part") - WIDTH + 1)), lambda i: F.array_join(F.slice("part", i, WIDTH), " "))
     )
+    most = max(k.bands for k in kinds)
+    index = table.select("license", "window", F.posexplode(_bands("needed", most)).alias("band", "value"))
+    small = len(rows) * most <= BROADCAST_ROWS  # grows with the templates alone
+    index, table = (F.broadcast(index), F.broadcast(table)) if small else (index, table)
     spread = spread.withColumn("held", shingles)
-    most = max(b for _, _, b, _ in kinds)
-
-    def bands(shingle_col: str) -> Column:
-        hashed = F.transform(shingle_col, lambda s: F.xxhash64(s))
-        return F.transform(F.sequence(F.lit(1), F.lit(most)), lambda j: F.array_min(F.transform(hashed, lambda h: F.xxhash64(h, j))))
-
-    index = table.select("license", "window", "needed", F.posexplode(bands("needed")).alias("band", "value"))
-    index = F.broadcast(index) if within(index, 50_000) else index  # grows with the templates alone
     found = (
-        spread.select("doc_id", "first", "window", "held", F.size("part").alias("length"), F.posexplode(bands("held")).alias("band", "value"))
+        spread.select("doc_id", "first", "window", "held", F.size("part").alias("length"), F.posexplode(_bands("held", most)).alias("band", "value"))
         .join(index, ["window", "band", "value"])
+        .dropDuplicates(["doc_id", "first", "license"])
+        .join(table.select("license", "needed"), "license")
         .withColumn("containment", F.size(F.array_intersect("held", "needed")) / F.size("needed"))
         .filter(F.col("containment") >= CONTAINMENT)
     )
