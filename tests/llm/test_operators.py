@@ -4,6 +4,7 @@ and on nulls, empty texts, ties, repeated rows, empty tables and extra columns."
 import base64
 import hashlib
 import html
+import math
 import random
 import re
 import time
@@ -472,6 +473,68 @@ def test_licenses_by_brute_force(spark):
     assert license_scan.licenses(docs.limit(0)).count() == 0
 
 
+def naive_licenses(text, templates):
+    """license: (windows, best containment) of all windows, without bands or anchors."""
+    w, out = license_scan.words_of(text), {}
+    shape = {}
+    for name, t in templates.items():
+        n = len(license_scan.words_of(t))
+        shape.setdefault(max(3, math.ceil(1.5 * n)), []).append((name, max(1, n // 2), set(license_scan.template_shingles(t))))
+    for window, some in shape.items():
+        step = min(x[1] for x in some)
+        for first in range(0, max(0, len(w) - max(1, window - step)) + 1 if w else 0, step):
+            part = w[first : first + window]
+            held = {" ".join(part[i : i + 3]) for i in range(max(1, len(part) - 2))}
+            for name, _, needed in some:
+                share = len(held & needed) / len(needed)
+                if share >= license_scan.CONTAINMENT:
+                    n, best = out.get(name, (0, 0))
+                    out[name] = (n + 1, max(best, share))
+    return out
+
+
+def edited(text, share, r):
+    """The text with a stretch of its words, so large a share, written anew."""
+    w = text.split()
+    k = int(len(w) * share)
+    at = r.randrange(len(w) - k + 1)
+    return " ".join(w[:at] + [f"other{r.randrange(999)}" for _ in range(k)] + w[at + k :])
+
+
+def test_edited_notices_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "CHUNK", 100)
+    r = random.Random(21)
+    templates = {n: t for n, t in license_scan.TEMPLATES.items() if len(t.split()) < 250}
+    assert len(templates) > 18 and sum(n.endswith(" text") for n in templates) >= 6
+    rows = []
+    for name, t in templates.items():
+        for share in (0.0, 0.1, 0.15, 0.2, 0.3):
+            rows.append((len(rows), words(len(rows), r.randint(0, 120)) + " " + edited(t, share, r) + " " + words(len(rows) + 1, r.randint(0, 300))))
+    rows += [(900, " ".join(edited(t, 0.1, r) for t in templates.values())), (901, words(1, 4000) + " " + templates["MIT text"]), (902, "license"), (903, None), (904, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for x in license_scan.licenses(docs, templates).collect():
+        got.setdefault(x.doc_id, {})[x.license] = (x.windows, x.containment)
+    for i, text in rows:
+        assert got.get(i, {}) == naive_licenses(text or "", templates), i
+    for k, name in enumerate(templates):
+        assert name in got[5 * k] and (len(templates[name].split()) < 60 or name in got[5 * k + 1] and name not in got.get(5 * k + 4, {})), name
+
+
+def test_whole_licenses(spark):
+    r = random.Random(5)
+    full = {n: t for n, t in license_scan.TEMPLATES.items() if n.endswith(" text")}
+    rows = [(i, words(i, 9000 * (i % 3 == 0) + 40) + " " + edited(t, 0.12, r)) for i, t in enumerate(full.values())] + [(100, words(3, 20_000))]
+    got = {(x.doc_id, x.license) for x in license_scan.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((i, name) in got for i, name in enumerate(full)) and not any(d == 100 for d, _ in got)
+
+
+def test_licenses_awkward(spark, awkward):
+    docs = awkward.unionByName(spark.createDataFrame([(None, "Released under the MIT License.", None, None, None)], DOC), allowMissingColumns=True)
+    got = license_scan.licenses(docs.withColumn("license", F.lit("x")).withColumn("first_word", F.lit(1))).collect()
+    assert [(x.doc_id, x.license) for x in got] == [(None, "MIT")]
+
+
 # packing
 
 
