@@ -28,6 +28,8 @@ MARK = ord("_")
 UNKNOWN = "und"
 #: N-grams a training task holds before it passes its counts on.
 HELD = 1_000_000
+#: Code points whose n-grams are sorted at once, if no word is longer.
+PIECE = 1 << 20
 
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -75,9 +77,45 @@ def counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[first], np.diff(np.r_[first, len(codes)])
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A text in parts of about ``PIECE`` code points that end between words,
+    so that the counts of the parts add up to those of the whole."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + PIECE)
+        while end < len(text) and text[end - 1].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    codes, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n = np.zeros(len(codes), np.int64)
+    np.add.at(n, back, np.concatenate([p[1] for p in parts]))
+    return codes, n
+
+
+def counts_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the n-grams of several whole texts, some ``PIECE`` at a time."""
+    parts, some, size = [], [], 0
+    for text in texts:
+        for piece in pieces(text) if len(text) > PIECE else (text,):
+            some.append(ngrams(piece))
+            size += len(piece)
+            if size >= PIECE:
+                parts.append(counts(np.concatenate(some)))
+                some, size = [], 0
+    if some or not parts:
+        parts.append(counts(np.concatenate([np.zeros(0, np.int64), *some])))
+    return _merge(parts)
+
+
 def ranked(text: str, size: int = PROFILE) -> np.ndarray:
     """The most frequent n-grams, most frequent first, ties by code."""
-    codes, n = counts(ngrams(text))
+    codes, n = counts_of([text])
     return codes[np.argsort(-n, kind="stable")[:size]]
 
 
@@ -110,15 +148,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     size = 0
 
-    def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        codes, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        n = np.zeros(len(codes), np.int64)
-        np.add.at(n, back, np.concatenate([p[1] for p in parts]))
-        return codes, n
-
     def flush() -> Iterator[pa.RecordBatch]:
         for lang, parts in held.items():
-            codes, n = merge(parts)
+            codes, n = _merge(parts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], names=["lang", "code", "n"])
         held.clear()
 
@@ -128,12 +160,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text:
                 texts.setdefault(lang, []).append(text)
         for lang, some in texts.items():
-            part = counts(np.concatenate([ngrams(t) for t in some]))
+            part = counts_of(some)
             held.setdefault(lang, []).append(part)
             size += len(part[0])
         if size > HELD:
             for lang in held:
-                held[lang] = [merge(held[lang])]
+                held[lang] = [_merge(held[lang])]
             size = sum(len(p[0][0]) for p in held.values())
             if size > HELD // 2:
                 yield from flush()

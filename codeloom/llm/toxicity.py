@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -29,9 +30,9 @@ from .common import text_batches
 WINDOW, STEP = 32, 24
 DIM, HIDDEN = 16, 8
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 14
-#: Labelled documents of each class that are learned from, at most, and the
-#: longest text among them in characters. Both bound the driver's memory.
-SAMPLE, SAMPLE_CHARS = 1200, 200_000
+#: Labelled documents of each class that are learned from, at most, and their
+#: characters in all. Both bound the driver's memory.
+SAMPLE, SAMPLE_CHARS = 1200, 12_000_000
 #: Words whose input vectors a scoring task remembers.
 MEMO = 250_000
 EPOCHS, BATCH, RATE = 10, 256, 0.01
@@ -338,15 +339,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """Learns from docs (doc_id, text) and labels (doc_id, toxic).
 
     Of each class the ``sample`` labelled documents with the smallest hashes
-    are used; null labels are left out, several of one document count as the
+    are used, whole texts in that order while they have ``SAMPLE_CHARS``
+    characters together at most. Documents without a text give their place to
+    the next. Null labels are left out, several of one document count as the
     highest. Without labelled documents every text's score is 0.5.
     """
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = docs.filter(F.char_length("text") <= SAMPLE_CHARS).select("doc_id", "text")
+    sized = docs.filter("text is not null").select("doc_id", F.char_length("text").alias("chars"))
+    sized = sized.join(marks.filter("toxic in (0, 1)"), "doc_id").groupBy("doc_id", "toxic").agg(F.sum("chars").alias("chars"))
     chosen = None
     for c in (0, 1):
-        some = marks.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        some = sized.filter(F.col("toxic") == c).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample)
+        before = F.sum("chars").over(W.orderBy("h", "doc_id"))  # at most ``sample`` rows
+        some = some.withColumn("_all", before).filter(F.col("_all") <= SAMPLE_CHARS).select("doc_id", "toxic")
         chosen = some if chosen is None else chosen.unionByName(some)
+    texts = docs.filter("text is not null").select("doc_id", "text")
     rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").select("text", "toxic").toArrow()  # at most 2 * sample ids
     if not rows.num_rows:
         net = Network()
