@@ -301,6 +301,48 @@ def test_language_profile_by_brute_force(spark):
     assert {name(int(c)): int(k) for c, k in zip(codes, n)} == want
 
 
+def test_language_prediction_by_brute_force(spark):
+    """Profiles, ranks and out-of-place distance with dictionaries."""
+    rows = [(i, text_in(sorted(LANGS)[i % 3], i, 15 + i % 40), sorted(LANGS)[i % 3]) for i in range(60)] + [(98, "12 34", "aa"), (99, None, "aa")]
+
+    def grams(text):
+        out, low = {}, "".join(c.lower() if c.isalpha() else " " for c in text or "")
+        for w in low.split():
+            p = f"_{w}_"
+            for n in (1, 2, 3):
+                for i in range(len(p) - n + 1):
+                    if p[i : i + n] != "_":
+                        out[p[i : i + n]] = out.get(p[i : i + n], 0) + 1
+        return out
+
+    code = lambda g: sum(ord(c) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+    top = lambda g: [x for x, _ in sorted(g.items(), key=lambda kv: (-kv[1], code(kv[0])))][: language_id.PROFILE]
+    profiles = {}
+    for lang in LANGS:
+        total = {}
+        for _, text, mine in rows:
+            for g, n in grams(text).items() if mine == lang else ():
+                total[g] = total.get(g, 0) + n
+        profiles[lang] = top(total)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, language_id.learn(docs)).collect()}
+    for i, text, _ in rows:
+        own = top(grams(text))
+        far = {lang: sum(abs(p.index(g) - k) if g in p else language_id.PROFILE for k, g in enumerate(own)) for lang, p in profiles.items()}
+        want = min(sorted(far), key=far.get) if own else "und"
+        assert got[i][0] == want and abs(got[i][1] - (1 - far[want] / (language_id.PROFILE * len(own)) if own else 0)) < 1e-12, i
+
+
+def test_language_of_long_texts(monkeypatch):
+    text = "Wörter, und 12 mehr davon; " * 400 + "x" * 900 + " ende"
+    want = language_id.counts(language_id.ngrams(text))
+    monkeypatch.setattr(language_id, "PIECE", 50)
+    assert "".join(language_id.pieces(text)) == text and len(list(language_id.pieces(text))) > 100
+    for a, b in zip(want, language_id.counts_of([text])):
+        assert (a == b).all()
+    assert len(language_id.counts_of([])[0]) == 0
+
+
 def test_language_awkward(spark, awkward):
     profiles = language_id.learn(awkward)
     got = language_id.identify(awkward, profiles, ["doc_id"]).collect()
@@ -412,6 +454,60 @@ def test_toxicity_held_out(spark):
     assert np.mean([a == b for a, b in got]) > 0.95
 
 
+def test_toxicity_scores_by_brute_force():
+    """One text, window and word at a time, with the published GRU equations."""
+    net = toxicity.Network(5)
+    net.scale, net.shift = 1.3, -0.2
+    texts = [words(i, n) for i, n in enumerate([1, 5, 31, 32, 33, 56, 57, 140])] + ["", None, "Ünïcode WORDS it's 12"]
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    H = toxicity.HIDDEN
+
+    def vector(word):
+        raw = word.lower().encode() if word.isascii() else "".join(c.lower() if c.isascii() else c for c in word).encode()
+        h = toxicity.K.hash_tokens(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))[0]
+        marked, rows = b"<" + raw + b">", []
+        for k in (3, 4):
+            for i in range(len(marked) - k + 1):
+                code = int.from_bytes(marked[i : i + k], "big") + k
+                rows.append(int(toxicity.K.mix(np.array([code], np.uint64))[0] % toxicity.GRAM_ROWS))
+        x = net.p["word"][int(h % toxicity.WORD_ROWS)].astype(float)
+        return x + (sum(net.p["gram"][r].astype(float) for r in rows) / np.sqrt(len(rows)) if rows else 0)
+
+    def run(xs, d):
+        h, out = np.zeros(H), []
+        for x in xs:
+            g, uh = x @ net.p[f"w{d}"] + net.p[f"c{d}"], h @ net.p[f"u{d}"]
+            z, r = sig(g[:H] + uh[:H]), sig(g[H : 2 * H] + uh[H : 2 * H])
+            h = z * h + (1 - z) * np.tanh(g[2 * H :] + r * uh[2 * H :])
+            out.append(h)
+        return out
+
+    def logit(xs):
+        hs = [np.r_[f, b] for f, b in zip(run(xs, "f"), run(xs[::-1], "b")[::-1])]
+        e = np.array([np.tanh(h @ net.p["att"]) @ net.p["att_v"] for h in hs])
+        w = np.exp(e - e.max())
+        return sum(a * h for a, h in zip(w / w.sum(), hs)) @ net.p["out"] + net.p["bias"][0]
+
+    got = net.scores(pa.array(texts))
+    for t, score in zip(texts, got):
+        xs = [vector(w) for w in re.findall("(?:[A-Za-z]|[^\x00-\x7f])+", t or "")]
+        starts = sorted({min(k, max(0, len(xs) - toxicity.WINDOW)) for k in range(0, max(1, len(xs) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP)}) if xs else []
+        worst = max((logit(xs[k : k + toxicity.WINDOW]) for k in starts), default=-30.0)
+        assert abs(score - sig(worst * net.scale + net.shift)) < 1e-4, t
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * 10) for i in range(40)] + [(50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(50, 1)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: seen.append((texts, toxic)) or toxicity.Network())
+    toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 330)
+    toxicity.fit(docs, labels)
+    toxicity.fit(docs, labels, sample=4)
+    assert [(len(t), sum(y)) for t, y in seen] == [(40, 20), (12, 6), (8, 4)]
+
+
 def test_gradients():
     net = toxicity.Network(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
