@@ -5,14 +5,16 @@ Each of ``TREES`` trees gives a vector a string of ``BITS`` hash bits; a tree
 is the sorted array of the strings. A query descends in every tree to the
 longest prefix that it shares with any row, of whatever length, and then the
 trees ascend together: prefixes are shortened by one bit in all trees at once
-until they cover ``want`` candidates. All rows under those prefixes are
-compared with the query by their exact distance.
+until they cover ``want`` candidates, and never fewer than hold k other ids.
+All rows under those prefixes are compared with the query by their exact
+distance, each in the first tree that has it under the prefix.
 
 A sorted array is kept in ranges by its first ``top`` bits, and a range of
 more than ``RANGE_ROWS`` rows in several salted parts, so a group of equal
-vectors of any size is spread. Counts of prefixes come from binary search in
-the parts and are summed, which gives every query its level; then each part
-returns its nearest k rows for each query and the best k of all parts remain.
+vectors of any size is spread; a part's queries come in blocks of about
+``QUERY_ROWS``. Counts of prefixes come from binary search in the parts and
+are summed, which gives every query its level; then each part returns its
+nearest k rows for each query and the best k of all parts remain.
 
 ``want`` is fitted, not guessed: for ``FIT_QUERIES`` queries the true
 neighbours among all rows are found in one linear pass, with the level at
@@ -36,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, join_small, text_batches
 
 TREES, BITS = 10, 48
-#: Rows of one part of a sorted array.
-RANGE_ROWS = 20_000
+#: Rows of one part of a sorted array, and of one block of the queries it gets.
+RANGE_ROWS, QUERY_ROWS = 20_000, 5_000
 #: Vectors that the hash functions are fitted on, and queries for the fit of want.
 FIT_ROWS, FIT_QUERIES = 2048, 64
 RECALL = 0.95
@@ -80,16 +82,6 @@ def _matrix(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([np.asarray(v, np.float64) for _, v in rows]), np.array([i for i, _ in rows])
 
 
-def _part(top: int, salts: dict[tuple[int, int], int]):
-    """Range and number of salted parts of (tree, string)."""
-
-    def of(tree: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = h >> (BITS - top)
-        return at, np.array([salts.get((tree, int(a)), 1) for a in at], np.int64)
-
-    return of
-
-
 def _bounds(sorted_h: np.ndarray, h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in a sorted array of the rows that share ``level`` bits with h."""
     shift = BITS - level
@@ -152,13 +144,13 @@ def search(vectors: DataFrame, is_query, k: int = 10, want: int | None = None, r
 
     text_batches(spark, 4096)
     indexed = scratch.write(rows.mapInArrow(index, "id long, v binary, h array<long>"), "index")
-    total = indexed.count()
+    per_id = indexed.groupBy("id").count().agg(F.sum("count"), F.max("count")).first()
+    total, repeats = per_id[0] or 0, per_id[1] or 1
     if not total:
         return empty
     top = int(np.clip(np.ceil(np.log2(max(1, total / RANGE_ROWS))), 0, 12))
     ranges = indexed.select(F.posexplode("h").alias("tree", "h")).groupBy("tree", F.shiftright("h", BITS - top).alias("at")).count().collect()  # at most TREES * 2^top
     count = {(r["tree"], r["at"]): r["count"] for r in ranges}
-    salts = {a: -(-n // RANGE_ROWS) for a, n in count.items() if n > RANGE_ROWS}
     parts = spark.createDataFrame([(t, a, -(-n // RANGE_ROWS)) for (t, a), n in count.items()], "tree int, at long, parts int")
     # counts of the levels above the ranges, as these are prefixes too
     shallow = np.zeros((TREES, top + 1, 1 << top), np.int64)
@@ -166,10 +158,20 @@ def search(vectors: DataFrame, is_query, k: int = 10, want: int | None = None, r
         for level in range(top + 1):
             shallow[t, level, a >> (top - level)] += n
 
-    placed = indexed.select("id", "v", F.posexplode("h").alias("tree", "h")).withColumn("at", F.shiftright("h", BITS - top))
+    placed = indexed.select("id", "v", F.col("h").alias("all"), F.posexplode("h").alias("tree", "h")).withColumn("at", F.shiftright("h", BITS - top))
     placed = join_small(placed, parts, ["tree", "at"], "inner").withColumn("salt", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     queries = scratch.write(indexed.filter(is_query(F.col("id"))).dropDuplicates(["id"]), "queries")
-    asked = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.posexplode("h").alias("tree", "qh"))
+    asked = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("h").alias("qall"), F.posexplode("h").alias("tree", "qh"))
+
+    def meet(sent: DataFrame, left: list[str], right: list[str]):
+        """Parts of the arrays and the queries sent to them, cogrouped in blocks."""
+        blocks = sent.groupBy("tree", "at").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
+        blocks = scratch.write(blocks, f"blocks-{len(left)}")  # at most a row for each range
+        key = ["tree", "at", "salt", "block"]
+        rows = join_small(placed, blocks, ["tree", "at"], "inner").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        asks = join_small(join_small(sent, parts, ["tree", "at"], "inner"), blocks, ["tree", "at"], "inner")
+        asks = asks.withColumn("block", F.pmod(F.xxhash64("qid"), "blocks").cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return rows.select(*key, *left).groupBy(*key).cogroup(asks.select(*key, *right).groupBy(*key))
 
     # 1. rows under each prefix of a query, by level
     def levels(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -185,16 +187,8 @@ def search(vectors: DataFrame, is_query, k: int = 10, want: int | None = None, r
             out.append(pd.DataFrame({"qid": right["qid"].to_numpy()[found], "level": np.int32(level), "n": (b - a)[found]}))
         return pd.concat(out) if out else pd.DataFrame({"qid": np.zeros(0, np.int64), "level": np.zeros(0, np.int32), "n": np.zeros(0, np.int64)})
 
-    spread = asked.withColumn("at", F.shiftright("qh", BITS - top)).select("qid", "tree", "qh", "at")
-    spread = join_small(spread, parts, ["tree", "at"], "inner").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    deep = (
-        placed.select("tree", "at", "salt", "h")
-        .groupBy("tree", "at", "salt")
-        .cogroup(spread.select("tree", "at", "salt", "qid", "qh").groupBy("tree", "at", "salt"))
-        .applyInPandas(levels, "qid long, level int, n long")
-        .groupBy("qid", "level")
-        .agg(F.sum("n").alias("n"))
-    )
+    spread = asked.select("qid", "tree", "qh", F.shiftright("qh", BITS - top).alias("at"))
+    deep = meet(spread, ["h"], ["qid", "qh"]).applyInPandas(levels, "qid long, level int, n long").groupBy("qid", "level").agg(F.sum("n").alias("n"))
     deep = deep.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("deep"))  # at most BITS levels
 
     def upper(hs: pd.Series) -> pd.Series:
@@ -212,6 +206,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, want: int | None = None, r
     # 2. the least want that reaches the aimed recall
     if want is None:
         want = _fit(indexed, queries, known, hashes, dim, k, recall)
+    want = max(want, TREES * (k + 1) * repeats)  # a row counts once a tree: so many hold k other ids
 
     # 3. every query's level, and all rows under its prefixes there
     level = F.size(F.filter("n", lambda x: x >= want)) - 1
@@ -221,7 +216,6 @@ def search(vectors: DataFrame, is_query, k: int = 10, want: int | None = None, r
     low = F.expr(f"shiftleft(shiftright(shiftright(qh, {BITS - top}), int(greatest(0, {top} - level))), int(greatest(0, {top} - level)))")
     routed = routed.withColumn("low", low).withColumn("wide", wide)
     routed = routed.withColumn("at", F.explode(F.expr("sequence(low, low + shiftleft(1L, int(wide)) - 1)")))
-    routed = join_small(routed, parts, ["tree", "at"], "inner").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -229,10 +223,13 @@ def search(vectors: DataFrame, is_query, k: int = 10, want: int | None = None, r
             order = np.argsort(left["h"].to_numpy(), kind="stable")
             h, ids = left["h"].to_numpy()[order], left["id"].to_numpy()[order]
             v = np.frombuffer(b"".join(left["v"]), np.float64).reshape(len(left), dim)[order]
-            for qid, qv, qh, lev in zip(right["qid"], right["qv"], right["qh"].to_numpy(), right["level"]):
+            earlier = np.stack(left["all"].to_numpy())[order, : key[0]]  # strings in the trees before this one
+            for qid, qv, qh, qall, lev in zip(right["qid"], right["qv"], right["qh"].to_numpy(), right["qall"], right["level"]):
                 a, b = (0, len(h)) if lev <= top else (int(x[0]) for x in _bounds(h, np.array([qh]), int(lev)))
                 if b > a:
-                    out.append((qid, *_nearest(np.frombuffer(qv, np.float64), qid, v[a:b], ids[a:b], k)))
+                    new = np.flatnonzero((((earlier[a:b] ^ np.asarray(qall)[: key[0]]) >> (BITS - int(lev))) != 0).all(1)) + a
+                    if len(new):
+                        out.append((qid, *_nearest(np.frombuffer(qv, np.float64), qid, v[new], ids[new], k)))
         return pd.DataFrame(
             {
                 "query_id": np.concatenate([np.full(len(i), q) for q, i, _ in out]) if out else np.zeros(0, np.int64),
@@ -241,12 +238,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, want: int | None = None, r
             }
         )
 
-    best = (
-        placed.select("tree", "at", "salt", "id", "h", "v")
-        .groupBy("tree", "at", "salt")
-        .cogroup(routed.select("tree", "at", "salt", "qid", "qv", "qh", "level").groupBy("tree", "at", "salt"))
-        .applyInPandas(compare, "query_id long, vec_id long, score double")
-    )
+    best = meet(routed, ["id", "h", "all", "v"], ["qid", "qv", "qh", "qall", "level"]).applyInPandas(compare, "query_id long, vec_id long, score double")
     best = best.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
