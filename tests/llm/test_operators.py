@@ -150,6 +150,31 @@ def test_forest_against_brute_force(spark):
     assert hit / total >= 0.9 and set(got) == set(range(0, 1500, 100))
 
 
+def test_forest_in_small_parts_finds_the_same(spark, monkeypatch):
+    """Salted parts, blocks of queries and shallow levels change nothing."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(600, 8)).astype(np.float32)
+    x[300:400] = x[300]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(600)], "vec_id long, embedding array<float>")
+    want = sorted(map(tuple, ann_forest.search(df, lambda c: c % 20 == 0, want=900).collect()))
+    assert len(want) == 300
+    monkeypatch.setattr(ann_forest, "RANGE_ROWS", 40)
+    monkeypatch.setattr(ann_forest, "QUERY_ROWS", 3)
+    assert sorted(map(tuple, ann_forest.search(df, lambda c: c % 20 == 0, want=900).collect())) == want
+
+
+def test_forest_always_finds_k(spark):
+    """Queries in sparse places and repeated ids get k other ids, too."""
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(size=(300, 6)) * 0.001, r.normal(size=(30, 6)) * 50]).astype(np.float32)
+    rows = [(i, [float(v) for v in x[i]]) for i in range(330)] + [(i, [float(v) for v in x[i] + 0.001]) for i in range(0, 330, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for row in ann_forest.search(df, lambda c: c % 10 == 0, want=1).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    assert set(got) == set(range(0, 330, 10)) and all(len(v) == 10 and q not in v for q, v in got.items())
+
+
 def test_forest_small_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (100, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = {(r.query_id, r.rank): r.vec_id for r in ann_forest.search(df, lambda c: c % 100 == 0).collect()}
