@@ -25,8 +25,11 @@ LEAST_SCORE = 0.2
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language stay; those without a letter, or unlike
-    every profile, go. A null lang is set to the predicted language."""
+    every profile, go. A null lang is set to the predicted language. Where no
+    row has a lang, nothing can be learned: all documents with a letter stay."""
     profiles = lang.learn(docs.select("lang", "text"))
+    if not profiles.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = lang.identify(docs, profiles)
     kept = found.filter((F.col("lang_pred") != lang.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
@@ -34,14 +37,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group stays
-    (five-word shingles, similarity 0.8); repeated rows stay once."""
-    found = near_duplicates(docs.select("doc_id", "text"), Plan())
-    gone = Scratch(spark, "dedup-gone").write(found.filter(~F.col("kept")).select("doc_id").distinct(), "ids")
-    kept = join_small(docs, gone, ["doc_id"], "left_anti")
-    repeated = kept.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    (five-word shingles, similarity 0.8); repeated rows stay once. Rows that
+    share an id but not a text are judged each for itself, after all others of
+    their group."""
+    scratch = Scratch(spark, "dedup-gone")
+    by_text = F.xxhash64("text")
+    several = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(by_text).alias("a"), F.max(by_text).alias("b")).filter("a <> b")
+    several = scratch.write(several.select("doc_id", F.lit(True).alias("_several")), "several")
+    keyed = docs.withColumn("_row", F.col("doc_id").cast("long"))
+    if not several.isEmpty():
+        stand_in = F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+        keyed = join_small(docs, several, ["doc_id"]).withColumn("_row", F.when(F.col("_several"), stand_in).otherwise(F.col("doc_id").cast("long")))
+    found = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), Plan())
+    gone = scratch.write(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_row")).distinct(), "ids")
+    kept = join_small(keyed, gone, ["_row"], "left_anti")
+    repeated = kept.filter("_row is not null").groupBy("_row").count().filter("count > 1").select("_row")
     if not repeated.isEmpty():
-        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+        once = kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row", "text"])
+        kept = kept.join(repeated, "_row", "left_anti").unionByName(once)
     return kept.select(*docs.columns)
 
 
