@@ -231,8 +231,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     set, are linked with nothing and are kept. Texts with fewer words than a
     shingle have their whole sequence as the only one. A row with a null id
     can't be linked: its component is null and it is kept. Rows that repeat an
-    id are judged by their own texts and each gives a row. Other columns of
-    ``docs`` are ignored; an empty table gives no rows.
+    id each give a row, with the size of their own set; links belong to the
+    id, so what one of its texts is linked with, the id's other rows are too.
+    Other columns of ``docs`` are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     text_batches(spark)

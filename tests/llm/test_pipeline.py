@@ -57,5 +57,18 @@ def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    a, b, c = text_in("aa", 1, 60), text_in("aa", 2, 60), text_in("bb", 3, 60)
+    docs = spark.createDataFrame([(1, a, "aa", "s", 1), (4, a + " tail", "aa", "s", 1), (4, b, "aa", "s", 1), (4, b, "aa", "s", 1), (5, c, "bb", "s", 1), (5, c, "bb", "s", 1), (None, a, "aa", "s", 1)], DOC)
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(1, a), (4, b), (5, c), (0, a)])
+
+
+def test_documents_without_any_language(spark):
+    docs = spark.createDataFrame([(1, text_in("aa", 1, 60), None, "s", 1), (2, "12 34", None, "s", 1), (3, None, None, "s", 1), (4, "é", None, "s", 1)], DOC)
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [1, 4]
+
+
 def test_words_helper():
     assert words(1, 3) == words(1, 3)
