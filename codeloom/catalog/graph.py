@@ -137,15 +137,8 @@ def union_priority_lookup(spark: SparkSession, d: str) -> DataFrame:
     return first_by(found, ["name"], "priority", "id").select("name", "id", "label")
 
 
-@query("unmatched_anti", f"{with_('supply', 'parts')} select id from parts where id not in (select dst from supply where src % 20 = 0)")
+@query("unmatched_anti", f"{with_('supply', 'parts')} select id from parts where id not in (select dst from supply)")
 def unmatched_anti(spark: SparkSession, d: str) -> DataFrame:
-    used = supply_edges(spark, d).filter("src % 20 = 0").select(F.col("dst").alias("id"))
-    return part_nodes(spark, d).select("id").join(used, "id", "left_anti")
-
-
-@query("unmatched_anti_all", f"{with_('supply', 'parts')} select id from parts where id not in (select dst from supply)")
-def unmatched_anti_all(spark: SparkSession, d: str) -> DataFrame:
-    """unmatched_anti against every supply edge."""
     return part_nodes(spark, d).select("id").join(supply_edges(spark, d).select(F.col("dst").alias("id")), "id", "left_anti")
 
 

@@ -43,21 +43,9 @@ def hop_impact(spark: SparkSession, d: str) -> DataFrame:
     return T.hop_impact(flow_edges(spark, d).filter("confidence >= 0.95"), spark.createDataFrame([(13,)], "id long"))
 
 
-@query(
-    "component_cohesion",
-    f"""{with_('flow')}, f as (select src, dst from flow where confidence >= 1.0 and dst % 3 = src % 3), bw as (select src, dst from f union select dst, src from f),
-    w(id, c) as (select p_partkey, p_partkey from part union select dst, c from w join bw on src = id), k as (select id, min(c) as component from w group by id),
-    n as (select component, count(*) as size from k group by component), i as (select component, count(*) as e from f join k on id = src group by component)
-    select component, size, round(coalesce(e, 0) / (select count(*) from f), 6) as cohesion from n left join i using (component)""",
-)
+@query("component_cohesion")
 def component_cohesion(spark: SparkSession, d: str) -> DataFrame:
-    e = flow_edges(spark, d).filter("confidence >= 1.0 and dst % 3 = src % 3")
-    return community.component_communities(T.components(e, part_nodes(spark, d).select("id")), e)
-
-
-@query("component_cohesion_all")
-def component_cohesion_all(spark: SparkSession, d: str) -> DataFrame:
-    """component_cohesion over every qualifying edge, for which recursive SQL is too slow."""
+    """Over every qualifying edge, for which recursive SQL is too slow."""
     e = flow_edges(spark, d).filter("confidence >= 1.0")
     return community.component_communities(T.components(e, part_nodes(spark, d).select("id")), e)
 
@@ -105,27 +93,13 @@ def write_access(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "type_fixpoint",
-    """with recursive k as (select distinct o_custkey as v, 'T' || (o_custkey % 7) as t from orders where o_orderstatus = 'F' and o_custkey % 3 = 0),
-    p as (select c_custkey as v, c_custkey // 2 as base from customer where c_custkey > 0 and c_custkey not in (select v from k)),
-    w(v, t, r) as (select v, t, 0 from k union all select p.v, w.t, r + 1 from w join p on p.base = w.v where r < 10)
-    select v as var, t as type from w""",
-)
-def type_fixpoint(spark: SparkSession, d: str) -> DataFrame:
-    k = table(spark, d, "orders").filter("o_orderstatus = 'F' and o_custkey % 3 = 0").select(F.lit("s").alias("scope"), F.col("o_custkey").cast("string").alias("var"), F.concat(F.lit("T"), F.col("o_custkey") % 7).alias("type")).distinct()
-    p = table(spark, d, "customer").filter("c_custkey > 0").select(F.lit("s").alias("scope"), F.col("c_custkey").cast("string").alias("var"), F.lit("copy").alias("kind"), F.expr("cast(c_custkey div 2 as string)").alias("base"), F.lit(None).cast("string").alias("member"), F.lit(1).alias("seq"))
-    none = spark.createDataFrame([], "owner string, name string, type string")
-    return R.propagate_types(k, p, none, none).select(F.col("var").cast("long").alias("var"), "type")
-
-
-@query(
-    "type_fixpoint_all",
     """with recursive k as (select distinct o_custkey as v, 'T' || (o_custkey % 7) as t from orders where o_orderstatus = 'F'),
     p as (select c_custkey as v, c_custkey // 2 as base from customer where c_custkey > 0 and c_custkey not in (select v from k)),
     w(v, t, r) as (select v, t, 0 from k union all select p.v, w.t, r + 1 from w join p on p.base = w.v)
     select v as var, t as type from w""",
 )
-def type_fixpoint_all(spark: SparkSession, d: str) -> DataFrame:
-    """type_fixpoint seeded from every customer with a finished order."""
+def type_fixpoint(spark: SparkSession, d: str) -> DataFrame:
+    """Seeded from every customer with a finished order."""
     k = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.lit("s").alias("scope"), F.col("o_custkey").cast("string").alias("var"), F.concat(F.lit("T"), F.col("o_custkey") % 7).alias("type")).distinct()
     p = table(spark, d, "customer").filter("c_custkey > 0").select(F.lit("s").alias("scope"), F.col("c_custkey").cast("string").alias("var"), F.lit("copy").alias("kind"), F.expr("cast(c_custkey div 2 as string)").alias("base"), F.lit(None).cast("string").alias("member"), F.lit(1).alias("seq"))
     none = spark.createDataFrame([], "owner string, name string, type string")

@@ -27,15 +27,19 @@ def resolve_suffix(imports: DataFrame, files: DataFrame, extensions: tuple[str,
     the path that ends a file name wins, then the order of extensions, exact
     case before any case, then the file registered first (seq).
 
-    Both sides give their suffixes; the join is on equality, so it shuffles on
-    the suffix and never compares all paths with all files.
+    Files are first reduced to one row for each suffix, in exact and in any
+    case, so an import meets at most two rows a suffix, however many files end
+    alike; the join shuffles on the suffix.
     """
     ext = F.explode(F.array(*(F.struct(F.lit(i).alias("ext_rank"), F.lit(e).alias("ext")) for i, e in enumerate(extensions))))
     wanted = imports.select("import_id", F.posexplode(suffixes("path")).alias("cut", "suffix")).select("import_id", "cut", "suffix", ext.alias("e"))
     wanted = wanted.select("import_id", "cut", "e.ext_rank", F.concat("suffix", "e.ext").alias("wanted")).withColumn("key", F.lower("wanted"))
-    have = files.select("file", "seq", F.explode(suffixes("file")).alias("have")).withColumn("key", F.lower("have"))
-    hits = wanted.join(have, "key").withColumn("fold", F.when(F.col("wanted") == F.col("have"), 0).otherwise(1))
-    return first_by(hits, ["import_id"], "cut", "fold", "ext_rank", "seq").select("import_id", "file")
+    have = files.select("file", "seq", F.explode(suffixes("file")).alias("have"))
+    first = F.min(F.struct("seq", "file")).alias("at")
+    exact = wanted.join(have.groupBy(F.col("have").alias("wanted")).agg(first), "wanted").withColumn("fold", F.lit(0))
+    folded = wanted.join(have.groupBy(F.lower("have").alias("key")).agg(first), "key").withColumn("fold", F.lit(1))
+    cols = ["import_id", "cut", "fold", "ext_rank", F.col("at.seq").alias("seq"), F.col("at.file").alias("file")]
+    return first_by(exact.select(*cols).unionByName(folded.select(*cols)), ["import_id"], "cut", "fold", "ext_rank", "seq").select("import_id", "file")
 
 
 def resolve_relative(imports: DataFrame, files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
@@ -231,17 +235,17 @@ def import_edges(imports: DataFrame) -> DataFrame:
     return e.select("src", "dst", "confidence")
 
 
-def propagate_across_files(known: DataFrame, pending: DataFrame, returns: DataFrame, fields: DataFrame, imports: DataFrame, levels: DataFrame, most_levels: int = 50) -> DataFrame:
+def propagate_across_files(known: DataFrame, pending: DataFrame, returns: DataFrame, fields: DataFrame, imports: DataFrame, levels: DataFrame) -> DataFrame:
     """Types across files: files of one import level (file, level) at a time,
-    the lowest first; imported variables (file, local, source, exported) take
-    the types that their files have by then. Scopes are file names."""
+    the lowest first and all of them; imported variables (file, local, source,
+    exported) take the types that their files have by then, of several the
+    least. Scopes are file names."""
     have = known
-    top = levels.agg(F.max("level")).first()[0] or 0
-    for level in range(0, min(top, most_levels) + 1):
+    for level in sorted(r["level"] for r in levels.select("level").distinct().collect()):  # as many as imports are deep
         here = levels.filter(F.col("level") == level).select(F.col("file").alias("scope"))
         bound = imports.select("file", "local", F.col("source").alias("scope"), F.col("exported").alias("var")).join(have, ["scope", "var"])
         seeds = bound.select(F.col("file").alias("scope"), F.col("local").alias("var"), "type").join(here, "scope", "left_semi")
-        fresh = seeds.join(have.select("scope", "var"), ["scope", "var"], "left_anti").dropDuplicates(["scope", "var"])
+        fresh = seeds.join(have.select("scope", "var"), ["scope", "var"], "left_anti").groupBy("scope", "var").agg(F.min("type").alias("type"))
         start = have.unionByName(fresh)
         have = propagate_types(start, pending.join(here, "scope", "left_semi"), returns, fields)
     return have

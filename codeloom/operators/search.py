@@ -1,7 +1,8 @@
 """Full-text, vector and fused search.
 
 BM25 over a fixed query needs no inverted index: term counts and lengths are
-computed in the scan, so the only shuffle is of a few sums. For many queries
+computed in one scan, which keeps those of documents with a term and observes
+the few sums over all. For many queries
 ``postings`` gives the index, to be written once, and ``bm25_postings`` reads
 only the query's terms of it.
 """
@@ -13,14 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.vector import cosine_distance
 from ..schema import RRF_K
-from ..session import ship, spread
+from ..session import ship, spread, written
 
 K1, B = 1.2, 0.75
 _CHAR = r"[\p{L}\p{N}]"
@@ -36,10 +37,9 @@ def _idf(n: Column | int, df: Column) -> Column:
     return F.log(1 + (F.lit(n) - df + 0.5) / (0.5 + df))
 
 
-def bm25(docs: DataFrame, text: Column | str, query: str, keys: list[str]) -> DataFrame:
-    """(keys, score) of documents with any of the query's terms; a term that
-    the query repeats counts as often. Scores are not rounded."""
-    terms = query_terms(query)
+def _term_counts(docs: DataFrame, text: Column | str, terms: list[str], keys: list[str]) -> DataFrame:
+    """keys, dl (tokens) and tf (of each term) of every document; two passes
+    of a regular expression over a text."""
     low = F.lower(F.col(text) if isinstance(text, str) else text)
     found = F.regexp_extract_all("_low", F.lit(rf"(?<!{_CHAR})(?:{'|'.join(map(re.escape, terms)) or '(?!)'})(?!{_CHAR})"), F.lit(0))
 
@@ -48,15 +48,38 @@ def bm25(docs: DataFrame, text: Column | str, query: str, keys: list[str]) -> Da
 
     counts = F.array(*map(count, terms)) if terms else F.array().cast("array<int>")
     length = F.coalesce(F.regexp_count("_low", F.lit(_TOKEN)), F.lit(0))
-    narrow = spread(docs).select(*keys, low.alias("_low")).select(*keys, length.alias("dl"), F.coalesce(found, F.array().cast("array<string>")).alias("_hits")).select(*keys, "dl", counts.alias("tf"))
-    if not terms:
-        return narrow.select(*keys, F.lit(0.0).alias("score")).filter("false")
-    sums = narrow.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count(F.when(F.col("tf")[i] > 0, 1)).alias(f"df{i}") for i in range(len(terms)))).first()
+    narrow = spread(docs).select(*keys, low.alias("_low")).select(*keys, length.alias("dl"), F.coalesce(found, F.array().cast("array<string>")).alias("_hits"))
+    return narrow.select(*keys, "dl", counts.alias("tf"))
+
+
+def _stats(terms: list[str]) -> list[Column]:
+    return [F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count(F.when(F.col("tf")[i] > 0, 1)).alias(f"df{i}") for i in range(len(terms)))]
+
+
+def _score(terms: list[str], stat) -> Column:
+    """BM25 of a row with dl and tf; stat gives n, avgdl and df0, df1 ..."""
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf = F.col("tf")[i].cast("double")
-        score = score + _idf(sums["n"], F.lit(sums[f"df{i}"])) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / (sums["avgdl"] or 1.0)))
-    return narrow.filter(F.exists("tf", lambda x: x > 0)).select(*keys, score.alias("score"))
+        score = score + _idf(stat("n"), stat(f"df{i}")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / stat("avgdl")))
+    return score
+
+
+def bm25(docs: DataFrame, text: Column | str, query: str, keys: list[str]) -> DataFrame:
+    """(keys, score) of documents with any of the query's terms; a term that
+    the query repeats counts as often. Scores are not rounded.
+
+    Texts are read once: the sums over all documents are observed while the
+    counts of those with a term are written to the shared folder.
+    """
+    terms = query_terms(query)
+    counted = _term_counts(docs, text, terms, keys)
+    if not terms:
+        return counted.select(*keys, F.lit(0.0).alias("score")).filter("false")
+    seen = Observation()
+    hits = written(counted.observe(seen, *_stats(terms)).filter(F.exists("tf", lambda x: x > 0)))
+    sums = seen.get
+    return hits.select(*keys, _score(terms, lambda name: F.lit(sums[name] or (1.0 if name == "avgdl" else 0))).alias("score"))
 
 
 def postings(docs: DataFrame, text: Column | str, key: str) -> DataFrame:
@@ -86,12 +109,17 @@ def ranked(scores: DataFrame, keys: list[str], k: int | None = None, by: str = "
 
 
 def fts(docs: DataFrame, text: Column | str, query: str, label: str, key: str, path: str, limit: int) -> DataFrame:
-    """(path, score, rank): the best ``limit`` of each label, summed by path."""
-    parts = None
-    for row in docs.select(label).distinct().orderBy(label).collect():  # labels are few by nature
-        part = bm25(docs.filter(F.col(label) == row[0]), text, query, [key, path]).orderBy(F.desc("score"), key).limit(limit)
-        parts = part if parts is None else parts.unionByName(part)
-    return ranked(parts.groupBy(path).agg(F.sum("score").alias("score")), [path], limit)
+    """(path, score, rank): the best ``limit`` of each label, summed by path.
+
+    All labels in one pass: their sums are a small table, joined to the counts
+    of the documents with a term.
+    """
+    terms = query_terms(query)
+    counted = written(_term_counts(docs, text, terms, [key, path, label]))
+    stats = counted.groupBy(F.col(label).alias("_of")).agg(*_stats(terms)).withColumn("avgdl", F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0))
+    hits = counted.filter(F.exists("tf", lambda x: x > 0)).join(stats, F.col(label).eqNullSafe(F.col("_of"))).select(key, path, label, _score(terms, F.col).alias("score"))
+    best = ranked(hits, [key], limit, partition=[label])
+    return ranked(best.groupBy(path).agg(F.sum("score").alias("score")), [path], limit)
 
 
 def vector_topk(vectors: DataFrame, query: list[float], key: str, vector: str, k: int, below: float | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,18 +37,46 @@ def checkpoint(df):
     The folder is the one in ``spark.checkpoint.dir``; where that is unset, and
     only on a local master, a fresh one.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix="codeloom-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def _shared(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        folder = "file://" + tempfile.mkdtemp(prefix="codeloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+_tables: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, path in _tables:
+        if spark.sparkContext._jsc is not None:
+            try:
+                p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            except Exception:  # the session may be gone when the interpreter ends
+                pass
+
+
+def written(df):
+    """df as a Parquet table in the same folder, which is removed when the
+    interpreter ends. Unlike a checkpoint this is a query of its own, so
+    observed metrics are there when it returns."""
+    path = f"{_shared(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _tables.append((df.sparkSession, path))
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df):
     """df in at least as many partitions as there are cores.
 

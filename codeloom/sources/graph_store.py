@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,8 +18,10 @@ from ..operators.graph import PropertyGraph, first_by
 class GraphStore:
     """Versions of a graph below one path: nodes by label, edges by type.
 
-    A version is written whole to a new folder, then the pointer is replaced,
-    so readers never see half of one and a lost job leaves the old version.
+    A version is written whole to a folder of its own name, then a pointer of
+    its number is renamed into place; the highest pointer holds. Readers never
+    see half of a version, a job that dies anywhere before leaves the old one
+    and can run again, and of two writers of one number the second fails.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -28,22 +32,28 @@ class GraphStore:
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def meta(self) -> dict | None:
-        p, fs = self._fs(f"{self.path}/current.json")
-        if not fs.exists(p):
+        p, fs = self._fs(self.path)
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        at = max((n for n in names if re.fullmatch(r"current-\d{12}\.json", n)), default=None)
+        if at is None:
             return None
-        return json.loads(self.spark.read.option("wholetext", "true").text(f"{self.path}/current.json").first()[0])
+        return json.loads(self.spark.read.option("wholetext", "true").text(f"{self.path}/{at}").first()[0])
 
     def _point(self, meta: dict) -> None:
-        p, fs = self._fs(f"{self.path}/current.json")
-        out = fs.create(p, True)
+        part, fs = self._fs(f"{self.path}/_{uuid.uuid4().hex}.tmp")
+        out = fs.create(part, False)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
+        target, _ = self._fs(f"{self.path}/current-{meta['version']:012d}.json")
+        if fs.exists(target) or not fs.rename(part, target):
+            fs.delete(part, False)
+            raise FileExistsError(f"version {meta['version']} was written by another job")
 
     def read(self) -> PropertyGraph:
         meta = self.meta()
         if meta is None:
             raise FileNotFoundError(f"no graph at {self.path}")
-        base = f"{self.path}/v{meta['version']}"
+        base = f"{self.path}/{meta['folder']}"
         return PropertyGraph(self._load(f"{base}/nodes", meta["nodes"]), self._load(f"{base}/edges", meta["edges"]))
 
     def _load(self, path: str, schema: dict) -> DataFrame:
@@ -55,7 +65,8 @@ class GraphStore:
         row of a node id stays. Edges without both ends are put aside."""
         old = self.meta()
         version = (old["version"] if old else 0) + 1
-        base = f"{self.path}/v{version}"
+        folder = f"v{version}-{uuid.uuid4().hex}"
+        base = f"{self.path}/{folder}"
         nodes = graph.nodes if first_wins is None else first_by(graph.nodes, ["id"], first_wins)
         nodes.write.partitionBy("label").parquet(f"{base}/nodes")
         kinds = {"nodes": nodes.schema.jsonValue(), "edges": graph.edges.schema.jsonValue()}
@@ -65,7 +76,7 @@ class GraphStore:
         good.select(*graph.edges.columns).write.partitionBy("type").parquet(f"{base}/edges")
         PropertyGraph(nodes, graph.edges).orphans().write.parquet(f"{base}/rejected")
         edges = self._load(f"{base}/edges", kinds["edges"])
-        meta = {"version": version, "lastCommit": commit, "stats": {"nodes": nodes.count(), "edges": edges.count()}, **kinds}
+        meta = {"version": version, "folder": folder, "lastCommit": commit, "stats": {"nodes": nodes.count(), "edges": edges.count()}, **kinds}
         self._point(meta)
         return meta
 

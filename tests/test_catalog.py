@@ -57,5 +57,5 @@ def test_component_cohesion_takes_every_edge(spark):
         up[max(a, b)] = min(a, b)
     size, inner = Counter(map(root, up)), Counter(root(a) for a, _ in edges)
     assert any(a % 3 != b % 3 for a, b in edges)
-    got = {(r.component, r["size"], r.cohesion) for r in catalog.QUERIES["component_cohesion_all"](spark, str(SF)).collect()}
+    got = {(r.component, r["size"], r.cohesion) for r in catalog.QUERIES["component_cohesion"](spark, str(SF)).collect()}
     assert got == {(c, n, round(inner[c] / len(edges), 6)) for c, n in size.items()}

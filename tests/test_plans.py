@@ -39,6 +39,56 @@ def test_top_k_is_partial(spark):
     assert "TakeOrderedAndProject" in plan(catalog.QUERIES["hotspots"](spark, SF))
 
 
+def test_bm25_reads_a_text_twice_at_most(spark):
+    from codeloom.operators import search
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    counted = search._term_counts(docs, "text", ["public", "license", "token"], ["doc_id"]).observe("seen", F.count("*")).filter(F.exists("tf", lambda x: x > 0))
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
+
+
+def test_suffixes_meet_two_files_at_most(spark):
+    """Many files of one base name: an import's row count doesn't grow with them."""
+    from codeloom.operators import resolve
+
+    files = spark.createDataFrame([(f"pkg{i}/Sub/index.ts" if i % 2 else f"pkg{i}/sub/index.ts", i) for i in range(300)] + [("a/utils.py", 500), ("b/Utils.py", 501)], "file string, seq long")
+    imports = spark.createDataFrame([(i, "index") for i in range(200)] + [(900, "sub/index"), (901, "SUB/index"), (902, "Utils"), (903, "x/utils"), (904, "pkg7/Sub/index"), (905, "nowhere")], "import_id long, path string")
+    found = {r.import_id: r.file for r in resolve.resolve_suffix(imports, files).collect()}
+    assert found[0] == found[199] == "pkg0/sub/index.ts" and found[900] == "pkg0/sub/index.ts" and found[901] == "pkg0/sub/index.ts"
+    assert found[902] == "b/Utils.py" and found[903] == "a/utils.py" and found[904] == "pkg7/Sub/index.ts" and 905 not in found
+
+
+def test_types_cross_all_import_levels(spark):
+    from codeloom.operators import resolve
+
+    known = spark.createDataFrame([("f0", "x", "T"), ("f0", "y", "B"), ("f0", "y", "A")], "scope string, var string, type string")
+    none = spark.createDataFrame([], "owner string, name string, type string")
+    pending = spark.createDataFrame([], "scope string, var string, kind string, base string, member string, seq long")
+    levels = spark.createDataFrame([(f"f{i}", 20 * i) for i in range(4)], "file string, level int")
+    imports = spark.createDataFrame([(f"f{i}", v, f"f{i - 1}", v) for i in range(1, 4) for v in "xy"], "file string, local string, source string, exported string")
+    got = {(r.scope, r.var): r.type for r in resolve.propagate_across_files(known, pending, none, none, imports, levels.filter("level <= 60")).collect() if r.scope != "f0"}
+    assert got == {(f"f{i}", v): t for i in range(1, 4) for v, t in (("x", "T"), ("y", "A"))}
+
+
+def test_store_survives_a_job_that_died(spark, tmp_path):
+    from codeloom.operators.graph import PropertyGraph
+    from codeloom.sources.graph_store import GraphStore
+
+    nodes = lambda *ids: spark.createDataFrame([(i, "File", i) for i in ids], "id string, label string, name string")
+    edges = spark.createDataFrame([("a", "b", "CALLS", 1.0)], "src string, dst string, type string, confidence double")
+    store = GraphStore(spark, str(tmp_path / "g"))
+    assert store.meta() is None
+    store.write(PropertyGraph(nodes("a", "b"), edges), "one")
+    point, store._point = store._point, lambda meta: (_ for _ in ()).throw(RuntimeError("died before the pointer"))
+    with pytest.raises(RuntimeError):
+        store.write(PropertyGraph(nodes("a", "b", "c"), edges), "two")
+    assert store.meta()["lastCommit"] == "one" and store.read().nodes.count() == 2
+    store._point = point
+    assert store.write(PropertyGraph(nodes("a", "b", "c"), edges), "two")["version"] == 2 and store.read().nodes.count() == 3
+    with pytest.raises(FileExistsError):
+        store._point(store.meta())
+
+
 def test_merge_replaces_by_key(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "d")], "id long, v string")
