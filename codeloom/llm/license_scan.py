@@ -240,31 +240,33 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFr
 
 
 def oracle() -> str:
-    """The same without bands: exact containment of all windows, in SQL."""
-    rows = []
-    for name, text in TEMPLATES.items():
-        n = len(words_of(text))
-        rows.append(f"('{name}', {max(WIDTH, ceil(1.5 * n))}, {template_shingles(text)!r})")
+    """The same without bands or anchors: every place of a template's shingle,
+    all windows over it, and their distinct shingles, in SQL."""
     steps: dict[int, int] = {}
     for text in TEMPLATES.values():
         n = len(words_of(text))
         w = max(WIDTH, ceil(1.5 * n))
         steps[w] = min(max(1, n // 2), steps.get(w, 1 << 30))
-    kinds = ", ".join(f"({w}, {s})" for w, s in steps.items())
+    rows = []
+    for name, text in TEMPLATES.items():
+        w = max(WIDTH, ceil(1.5 * len(words_of(text))))
+        rows.append(f"('{name}', {w}, {steps[w]}, {template_shingles(text)!r})")
     return f"""
-    with t(license, win, needed) as (values {', '.join(rows)}),
-    k(win, step) as (values {kinds}),
-    d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') as w from documents),
-    s as (
-      select doc_id, w, k.win, unnest(generate_series(0, greatest(0, len(w) - greatest(1, k.win - k.step)), k.step)) as first
-      from d, k where len(w) > 0),
-    p as (select doc_id, win, first, w[first + 1 : first + win] as part from s),
+    with t(license, win, step, needed) as (values {', '.join(rows)}),
+    s as (select license, win, step, len(needed) as size, unnest(needed) as shingle from t),
+    d as (
+      select row_number() over () as r, doc_id,
+        regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') as w from documents),
+    p as (
+      select r, doc_id, len(w) as n, unnest(generate_series(0, greatest(0, len(w) - {WIDTH}))) as pos, w from d where len(w) > 0),
     h as (
-      select doc_id, win, first, list_distinct(list_transform(generate_series(1, greatest(1, len(part) - {WIDTH - 1})),
-        lambda i: array_to_string(part[i : i + {WIDTH - 1}], ' '))) as held from p),
+      select r, doc_id, n, pos, license, win, step, size, shingle from p join s on shingle = array_to_string(w[pos + 1 : pos + {WIDTH}], ' ')),
+    f as (
+      select *, unnest(generate_series(cast(ceil(greatest(0, pos + {WIDTH} - win) / step) as bigint) * step, least(pos, greatest(0, n - greatest(1, win - step))), step)) as first
+      from h),
     m as (
-      select distinct doc_id, license, first, len(list_intersect(held, needed)) / len(needed) as containment
-      from h join t using (win))
-    select doc_id, license, cast(count(*) as bigint) as windows, max(containment) as containment
-    from m where containment >= {CONTAINMENT} group by doc_id, license
+      select distinct doc_id, license, first, share from (
+        select r, doc_id, license, first, count(distinct shingle) / any_value(size) as share from f group by r, doc_id, license, first))
+    select doc_id, license, cast(count(*) as bigint) as windows, max(share) as containment
+    from m where share >= {CONTAINMENT} group by doc_id, license
     """
