@@ -2,88 +2,227 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, ship
+from ..session import SMALL, checkpoint, partitions, ship, sized
 from .graph import first_by
 
 
-def ancestors(parents: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(root, id, depth, ord): all ancestors of each root (id) by breadth-first
-    order over parents (src, dst, ord); a diamond counts once, cycles end."""
-    e = parents.select(F.col("src").alias("at"), F.col("dst").alias("next"), "ord").distinct()
-    front = roots.select(F.col("id").alias("root"), F.col("id").alias("at"), F.lit("").alias("ord"))
-    seen = None
-    for depth in range(1, max_depth + 1):
-        step = front.join(e.withColumnRenamed("ord", "o"), "at").select("root", F.col("next").alias("id"), F.concat("ord", F.lpad(F.col("o").cast("string"), 4, "0")).alias("ord"))
-        step = step.filter("id <> root").groupBy("root", "id").agg(F.min("ord").alias("ord"))
-        if seen is not None:
-            step = step.join(seen.select("root", "id"), ["root", "id"], "left_anti")
-        step = checkpoint(step.withColumn("depth", F.lit(depth)))
-        if step.isEmpty():
+#: Roots of a batch, and roots times nodes that a task holds at a time.
+ROOTS, CELLS = 2048, 2_000_000
+
+
+def _closure(parents: DataFrame, roots: DataFrame, rounds: int | None) -> tuple[DataFrame, DataFrame]:
+    """(batch, root) and (batch, id): neighbouring roots in batches, and every
+    node that a root of the batch reaches, itself included.
+
+    A batch shares its ancestors, so there are far fewer rows than roots times
+    ancestors, and never more.
+    """
+    n = partitions(parents.sparkSession)
+    e = checkpoint(parents.select(F.col("src").alias("id"), F.col("dst").alias("next")).distinct().repartition(n, "id").sortWithinPartitions("id"))
+    r = roots.select(F.col("id").alias("root")).filter("root is not null").distinct().repartitionByRange(n, "root").sortWithinPartitions("root")
+    r = checkpoint(r.select(F.floor(F.monotonically_increasing_id() / ROOTS).alias("batch"), "root"))
+    front = seen = r.select("batch", F.col("root").alias("id"))
+    depth = 0
+    while rounds is None or depth < rounds:
+        depth += 1
+        rows = front.count()
+        if not rows:
             break
-        seen = step if seen is None else seen.unionByName(step)
-        front = step.select("root", F.col("id").alias("at"), "ord")
-    empty = roots.select(F.col("id").alias("root"), "id", F.lit("").alias("ord"), F.lit(0).alias("depth")).filter("false")
-    return empty if seen is None else seen
+        step = sized(front, rows).join(e.hint("merge") if rows > SMALL else e, "id").select("batch", F.col("next").alias("id")).distinct()
+        if depth % 4 == 0:  # what is met again costs less than looking back each round; cycles end here
+            step = step.join(seen.hint("merge"), ["batch", "id"], "left_anti")
+        front = checkpoint(step)
+        seen = seen.unionByName(front)
+    return r, seen.distinct()
 
 
-def c3(parents: dict, start) -> list | None:
-    """C3 order of a class by its parents' lists; None if there is none."""
-    done: dict = {}
+def _per_batch(parents: DataFrame, roots: DataFrame, run, schema: str, rounds: int | None = None, methods: DataFrame | None = None) -> DataFrame:
+    """The rows of run(nodes, roots, edges, methods) of each batch.
 
-    def order(c, path: tuple) -> list | None:
-        if c in path:
-            return None
+    nodes: the sorted ids; roots, edges (src, dst) and the methods' owners are
+    places in it; run yields Arrow batches.
+    """
+    ship(parents.sparkSession)
+    r, reached = _closure(parents, roots, rounds)
+    kind = parents.schema["src"].dataType.simpleString()
+    method = "string" if methods is None else methods.schema["method"].dataType.simpleString()
+    none = [F.lit(None).cast("string").alias("name"), F.lit(None).cast(method).alias("method"), F.lit(0).alias("iface")]
+    edges = reached.hint("merge").join(parents.select(F.col("src").alias("id"), "dst", F.coalesce(F.col("ord").cast("long"), F.lit(0)).alias("ord")), "id")
+    rows = r.select("batch", F.lit(0).alias("what"), F.col("root").cast(kind).alias("a"), F.col("root").cast(kind).alias("b"), F.lit(0).cast("long").alias("ord"), *none)
+    rows = rows.unionByName(edges.select("batch", F.lit(1).alias("what"), F.col("id").alias("a"), F.col("dst").alias("b"), "ord", *none))
+    if methods is not None:
+        mine = reached.hint("merge").join(methods.withColumnRenamed("owner", "id"), "id")
+        rows = rows.unionByName(mine.select("batch", F.lit(2).alias("what"), F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).cast("long").alias("ord"), F.col("name").cast("string").alias("name"), "method", "iface"))
+
+    def one(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        nodes, at = np.unique(np.concatenate([t["a"].to_numpy(), t["b"].to_numpy()]), return_inverse=True)
+        a, b, what = at[: len(t)], at[len(t) :], t["what"].to_numpy()
+        up, own = what == 1, what == 2
+        took = t.filter(pa.array(own)).select(["name", "method", "iface"])
+        ids = pa.array(nodes, t["a"].type)
+        return run(ids, np.sort(a[what == 0]), (a[up], b[up], t["ord"].to_numpy()[up]), (a[own], took))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        at = None
+        for x in batches:
+            keys = x.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)] if len(keys) else []
+            for i, j in itertools.pairwise(cuts):
+                if held and keys[i] != at:
+                    yield from one(pa.Table.from_batches(held))
+                    held = []
+                at = keys[i]
+                held.append(x.slice(i, j - i))
+        if held:
+            yield from one(pa.Table.from_batches(held))
+
+    return rows.repartition(partitions(parents.sparkSession), "batch").sortWithinPartitions("batch").mapInArrow(go, schema)
+
+
+def _climb(n: int, roots: np.ndarray, edges: tuple, max_depth: int, ordered: bool, text: bool) -> Iterator[tuple]:
+    """(root, id, depth, rank, ord) of some roots at a time, as arrays of
+    places: breadth-first over edges. rank orders one depth as ord does."""
+    src, dst, o = edges
+    by = np.lexsort((o, dst, src))
+    src, dst = src[by], dst[by]
+    padded, o = np.unique([str(x).rjust(4, "0")[:4] for x in o[by].tolist()], return_inverse=True) if len(by) else (np.array([], "U4"), o)
+    padded = padded.astype(object)
+    first = np.searchsorted(src, np.arange(n + 1))
+    for chunk in range(0, len(roots), k := max(1, CELLS // max(1, n))):
+        mine = roots[chunk : chunk + k]
+        seen = np.zeros(len(mine) * n, bool)
+        fr, fn, rank, ord_ = np.arange(len(mine)), mine, np.zeros(len(mine), np.int64), np.full(len(mine), "", object)
+        seen[fr * n + fn] = True
+        out = []
+        for depth in range(1, max_depth + 1):
+            many = first[fn + 1] - first[fn]
+            by = np.repeat(np.arange(len(fn)), many)
+            e = np.arange(len(by)) - np.repeat(np.cumsum(many) - many, many) + first[fn][by]
+            cell = fr[by] * n + dst[e]
+            new = ~seen[cell]
+            by, e, cell = by[new], e[new], cell[new]
+            if not len(cell):
+                break
+            if ordered:
+                key = rank[by] * len(padded) + o[e]
+                s = np.lexsort((key, cell))
+                s = s[np.concatenate([[True], np.diff(cell[s]) != 0])]
+                cell, rank = cell[s], np.unique(key[s], return_inverse=True)[1]
+                ord_ = ord_[by[s]] + padded[o[e[s]]] if text else ord_
+            else:
+                cell = np.unique(cell)
+            seen[cell] = True
+            fr, fn = np.divmod(cell, n)
+            out.append((mine[fr], fn, np.full(len(fn), depth, np.int32), rank if ordered else fr, ord_ if text else fr))
+        if out:
+            yield tuple(np.concatenate(x) for x in zip(*out))
+
+
+def ancestors(parents: DataFrame, roots: DataFrame, max_depth: int = 100, order: bool = True) -> DataFrame:
+    """(root, id, depth, ord): all ancestors of each root (id) by breadth-first
+    order over parents (src, dst, ord); a diamond counts once, cycles end.
+
+    Without ``order`` there is no ord. A batch of roots climbs in one task,
+    over the edges among its own ancestors.
+    """
+    kind = parents.schema["src"].dataType.simpleString()
+
+    def run(ids: pa.Array, roots: np.ndarray, edges: tuple, _: tuple) -> Iterator[pa.RecordBatch]:
+        for r, i, depth, _, ord_ in _climb(len(ids), roots, edges, max_depth, order, order):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), ids.take(pa.array(i)), pa.array(depth), *([pa.array(ord_, pa.string())] if order else [])], ["root", "id", "depth", *(["ord"] if order else [])])
+
+    return _per_batch(parents, roots, run, f"root {kind}, id {kind}, depth int" + ", ord string" * order, max_depth)
+
+
+def c3(parents: dict, start, done: dict | None = None) -> list | None:
+    """C3 order of a class by its parents' lists; None if there is none, as
+    on a cycle. done: orders found so far."""
+    done = {} if done is None else done
+    stack, open_ = [start], set()
+    while stack:
+        c = stack[-1]
         if c in done:
-            return done[c]
-        lists = []
-        for p in parents.get(c, []):
-            o = order(p, (*path, c))
-            if o is None:
-                done[c] = None
-                return None
-            lists.append(list(o))
-        lists.append(list(parents.get(c, [])))
-        out = [c]
-        lists = [x for x in lists if x]
-        while lists:
-            head = next((x[0] for x in lists if not any(x[0] in y[1:] for y in lists)), None)
-            if head is None:
-                done[c] = None
-                return None
-            out.append(head)
-            lists = [y for y in ([z for z in x if z != head] for x in lists) if y]
-        done[c] = out
-        return out
-
-    return order(start, ())
+            stack.pop()
+            continue
+        ups = parents.get(c, [])
+        if c not in open_:
+            open_.add(c)
+            todo = [p for p in ups if p not in done]
+            if not any(p in open_ for p in todo):
+                stack += todo
+                continue
+        stack.pop()
+        open_.discard(c)
+        done[c] = None if any(done.get(p) is None for p in ups) else _merge(c, [*(done[p] for p in ups), ups])
+    return done[start]
+
+
+def _merge(c, lists: list[list]) -> list | None:
+    out, lists = [c], [x for x in lists if x]
+    tails = Counter(z for x in lists for z in x[1:])
+    at = [0] * len(lists)
+    left = set(range(len(lists)))
+    while left:
+        head = next((h for k in sorted(left) if not tails[h := lists[k][at[k]]]), None)
+        if head is None:
+            return None
+        out.append(head)
+        for k in list(left):
+            if lists[k][at[k]] == head:
+                at[k] += 1
+                if at[k] == len(lists[k]):
+                    left.discard(k)
+                else:
+                    tails[lists[k][at[k]]] -= 1
+    return out
+
+
+def _orders(roots: np.ndarray, edges: tuple) -> Iterator[tuple]:
+    """(root, id, place) of C3 orders, as arrays of places, some at a time."""
+    src, dst, o = edges
+    ups: dict = {}
+    by = np.lexsort((dst, o, src))
+    for s, t in zip(src[by].tolist(), dst[by].tolist()):
+        if t not in ups.setdefault(s, []):
+            ups[s].append(t)
+    done: dict = {}
+    held, rows = [], 0
+    for r in roots.tolist():
+        found = c3(ups, r, done)
+        if found and len(found) > 1:
+            held.append((np.full(len(found) - 1, r), np.array(found[1:]), np.arange(1, len(found), dtype=np.int32)))
+            rows += len(found)
+        if rows > CELLS:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, rows = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
 
 
 def linearize(parents: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, id, place): C3 order of each root's ancestors, from 1; roots
     without a consistent order give no rows.
 
-    A root's task gets only the edges among its own ancestors.
+    A batch of roots shares the orders of its ancestors in one task.
     """
-    ship(parents.sparkSession)
-    up = ancestors(parents, roots).select("root", F.col("id").alias("src"))
-    mine = up.unionByName(roots.select(F.col("id").alias("root"), F.col("id").alias("src")))
-    edges = mine.join(parents.select("src", "dst", "ord"), "src")
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        up: dict = {}
-        for s, t in rows.sort_values(["src", "ord", "dst"])[["src", "dst"]].itertuples(index=False):
-            if t not in up.setdefault(s, []):
-                up[s].append(t)
-        found = c3(up, key[0]) or []
-        return pd.DataFrame({"root": [key[0]] * (len(found) - 1), "id": found[1:], "place": list(range(1, len(found)))}) if len(found) > 1 else pd.DataFrame({"root": [], "id": [], "place": []}).astype({"place": "int32"})
-
     kind = parents.schema["src"].dataType.simpleString()
-    return edges.groupBy("root").applyInPandas(run, f"root {kind}, id {kind}, place int")
+
+    def run(ids: pa.Array, roots: np.ndarray, edges: tuple, _: tuple) -> Iterator[pa.RecordBatch]:
+        for r, i, place in _orders(roots, edges):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), ids.take(pa.array(i)), pa.array(place)], ["root", "id", "place"])
+
+    return _per_batch(parents, roots, run, f"root {kind}, id {kind}, place int")
 
 
 CONFIDENCE = {"first-wins": 0.9, "leftmost-base": 0.9, "c3": 0.95, "implements-split": 0.85}
