@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import SMALL, checkpoint, partitions, ship, sized
-from .graph import first_by
 
 
 #: Roots of a batch, and roots times nodes that a task holds at a time.
@@ -237,21 +236,50 @@ def overrides(parents: DataFrame, methods: DataFrame, roots: DataFrame, strategy
     implements-split prefers the one class ancestor over interfaces and gives
     no winner where several interfaces alone have the name.
     """
-    up = ancestors(parents, roots)
-    if strategy == "c3":
-        up = linearize(parents, roots).select("root", "id", F.col("place").alias("depth"), F.lit("").alias("ord"))
-    order = [F.col("ord")] if strategy == "leftmost-base" else [F.col("depth"), F.col("ord"), F.col("id")]
-    own = methods.select(F.col("owner").alias("root"), "name").distinct()
-    has = up.join(methods.withColumnRenamed("owner", "id"), "id").join(own, ["root", "name"], "left_anti")
-    several = has.groupBy("root", "name").agg(F.countDistinct("id").alias("n")).filter("n > 1").select("root", "name")
-    has = has.join(several, ["root", "name"])
+    m = methods.select("owner", "name", "method").filter("name is not null").withColumn("iface", F.lit(0))
     if strategy == "implements-split":
-        kinds = parents.filter("type = 'IMPLEMENTS'").select(F.col("dst").alias("id")).distinct().withColumn("iface", F.lit(1))
-        has = has.join(kinds, "id", "left").withColumn("iface", F.coalesce("iface", F.lit(0)))
-        classes = F.sum(1 - F.col("iface")).over(W.partitionBy("root", "name"))
-        has = has.withColumn("_c", classes).filter("_c > 0 and iface = 0")
-    won = first_by(has, ["root", "name"], *order, "method")
-    return won.select("root", "name", F.col("id").alias("owner"), "method", F.lit(CONFIDENCE.get(strategy, 0.5)).alias("confidence"))
+        kinds = parents.filter("type = 'IMPLEMENTS'").select(F.col("dst").alias("owner")).distinct().withColumn("iface", F.lit(1))
+        m = m.drop("iface").join(kinds, "owner", "left").withColumn("iface", F.coalesce("iface", F.lit(0)))
+    kind, named, called = (x.schema[c].dataType.simpleString() for x, c in ((parents, "src"), (methods, "name"), (methods, "method")))
+
+    def run(ids: pa.Array, roots: np.ndarray, edges: tuple, own: tuple) -> Iterator[pa.RecordBatch]:
+        owner, rest = own
+        by = np.argsort(owner, kind="stable")
+        owner, rest = owner[by], rest.take(pa.array(by))
+        names, name = np.unique(rest["name"].to_numpy(), return_inverse=True)
+        first = np.searchsorted(owner, np.arange(len(ids) + 1))
+        iface = rest["iface"].to_numpy()
+        method = np.unique(rest["method"].to_numpy(), return_inverse=True)[1] if len(owner) and not rest["method"].null_count else np.arange(len(owner))
+        if strategy == "c3":
+            climbed = ((r, i, place, place, place) for r, i, place in _orders(roots, edges))
+        else:
+            climbed = _climb(len(ids), roots, edges, 100, True, strategy == "leftmost-base")
+        has = np.unique(owner * len(names) + name)
+        for r, i, depth, rank, ord_ in climbed:
+            many = first[i + 1] - first[i]
+            by = np.repeat(np.arange(len(i)), many)
+            k = np.arange(len(by)) - np.repeat(np.cumsum(many) - many, many) + first[i][by]
+            key = r[by] * len(names) + name[k]
+            new = ~np.isin(key, has)
+            by, k, key = by[new], k[new], key[new]
+            if not len(key):
+                continue
+            pairs = np.unique(np.stack([key, i[by]]), axis=1)[0] if len(has) < len(owner) else key
+            several, count = np.unique(pairs, return_counts=True)
+            fits = np.isin(key, several[count > 1]) & (iface[k] == 0)
+            by, k, key = by[fits], k[fits], key[fits]
+            if strategy == "leftmost-base":
+                order = (np.unique(ord_[by], return_inverse=True)[1],) if len(by) else (by,)
+            else:
+                order = (i[by], rank[by], depth[by])
+            s = np.lexsort((method[k], *order, key))
+            s = s[np.concatenate([[True], np.diff(key[s]) != 0])] if len(s) else s
+            if len(s):
+                got = rest.take(pa.array(k[s])).combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r[by[s]])), *(pa.concat_arrays(got[c].chunks) for c in ("name", "method")), ids.take(pa.array(i[by[s]]))], ["root", "name", "method", "owner"])
+
+    won = _per_batch(parents, roots, run, f"root {kind}, name string, method {called}, owner {kind}", None if strategy == "c3" else 100, m)
+    return won.select("root", F.col("name").cast(named).alias("name"), "owner", "method", F.lit(CONFIDENCE.get(strategy, 0.5)).alias("confidence"))
 
 
 def implementations(parents: DataFrame, methods: DataFrame) -> DataFrame:
