@@ -282,7 +282,7 @@ def ancestors_bfs(spark: SparkSession, d: str) -> DataFrame:
 
     e = inherit_edges(spark, d)
     roots = e.select(F.col("src").alias("id")).distinct()
-    return ancestors(e, roots).select("root", "id", "depth")
+    return ancestors(e, roots, order=False).select("root", "id", "depth")
 
 
 @query(
