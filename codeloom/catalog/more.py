@@ -79,7 +79,7 @@ def interface_dispatch(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "part").select(F.col("p_partkey").alias("method"), (F.col("p_partkey") % 50).alias("owner"), F.col("p_name").alias("name"))
     li = table(spark, d, "lineitem")
     i = li.select((F.col("l_suppkey") % 50).alias("iface"), (F.col("l_linenumber") + 10).cast("long").alias("cls")).distinct()
-    c = li.select((F.col("l_orderkey") % 500).alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    c = li.select((F.col("l_orderkey") % 500).alias("src"), F.col("l_partkey").alias("dst"))
     return R.dispatch(c, m, i)
 
 

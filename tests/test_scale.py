@@ -6,7 +6,7 @@ import random
 import pytest
 
 from codeloom import catalog
-from codeloom.operators import mro
+from codeloom.operators import mro, resolve
 
 SF = "/root/testdata/sf0.01"
 
@@ -33,6 +33,34 @@ def test_shuffle(spark, name):
     assert shuffled(spark, lambda: catalog.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()) < LIMITS[name]
 
 
+def most_rows(df):
+    """The most rows that a step of the plan put out, once df was collected."""
+
+    def walk(p):
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(p.executedPlan())
+        if "QueryStage" in name:
+            return walk(p.plan())
+        m, kids = p.metrics(), p.children()
+        return max([m.apply("numOutputRows").value() if m.contains("numOutputRows") else 0, *(walk(kids.apply(i)) for i in range(kids.size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_dispatch_makes_no_pairs(spark):
+    """200 methods of one interface and name, 200 of its implementor: a caller
+    of all of the first reaches all of the second, not each of them 200 times."""
+    n = 200
+    methods = spark.createDataFrame([(i, i // n, "run") for i in range(2 * n)] + [(7000, 1, "run"), (7000, 0, "run"), (7001, 1, "stop")], "method long, owner long, name string")
+    calls = spark.createDataFrame([(s, i) for s in (1000, 1001, 250) for i in range(n)] * 2, "src long, dst long")
+    links = spark.createDataFrame([(0, 1), (0, 0)], "iface long, cls long")
+    found = resolve.dispatch(calls, methods, links)
+    got = [(r.src, r.dst) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(s, i) for s in (1000, 1001, 250) for i in [*range(2 * n), 7000] if s != i}
+    assert most_rows(found) < 20 * n
+
+
 def climb(parents, root):
     """{id: (depth, ord)} as ancestors() has it."""
     out, front, depth = {}, {root: ""}, 0
