@@ -92,7 +92,7 @@ def three_hop(spark: SparkSession, d: str) -> DataFrame:
     where y.dst <> x.src group by x.src""",
 )
 def diamond(spark: SparkSession, d: str) -> DataFrame:
-    g = PropertyGraph(part_nodes(spark, d), flow_edges(spark, d).filter("confidence >= 0.99"))
+    g = PropertyGraph(part_nodes(spark, d), flow_edges(spark, d, 0.99))
     return g.diamonds().groupBy("a").agg(F.count("*").alias("n"))
 
 
@@ -231,7 +231,7 @@ _STRONG = f"{FLOW}, f as (select src, dst from flow where confidence >= 0.98)"
 
 
 def _strong(spark: SparkSession, d: str) -> DataFrame:
-    return flow_edges(spark, d).filter("confidence >= 0.98")
+    return flow_edges(spark, d, 0.98)
 
 
 def _bfs_sql(a: str, b: str, depth: int, stop: str = "") -> str:
@@ -311,7 +311,7 @@ _WEAK = f"{FLOW}, f as (select src, dst from flow where confidence >= 1.0)"
 
 
 def _weak(spark: SparkSession, d: str) -> DataFrame:
-    return flow_edges(spark, d).filter("confidence >= 1.0")
+    return flow_edges(spark, d, 1.0)
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import community, resolve as R, search as S, tools as O, traverse as T
+from ..session import checkpoint
 from ..sources.tables import flow_edges, flow_graph, part_nodes, processes, supply_edges, table, with_
 from .registry import query
 from .search import Q, _bm25_sql, _probe
@@ -46,7 +47,7 @@ def hop_impact(spark: SparkSession, d: str) -> DataFrame:
 @query("component_cohesion")
 def component_cohesion(spark: SparkSession, d: str) -> DataFrame:
     """Over every qualifying edge, for which recursive SQL is too slow."""
-    e = flow_edges(spark, d).filter("confidence >= 1.0")
+    e = checkpoint(flow_edges(spark, d, 1.0))
     return community.component_communities(T.components(e, part_nodes(spark, d).select("id")), e)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import TRACE_BRANCH, TRACE_DEPTH, TRACE_MIN_STEPS, TRACES_PER_ENTRY
-from ..session import checkpoint
+from ..session import checkpoint, partitions
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "out", stop: DataFrame | None = None, carry: str | None = None) -> DataFrame:
@@ -72,13 +72,13 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Min-label propagation with pointer jumping: every round takes the least
     label of the neighbours, then the label of that label.
     """
-    both = checkpoint(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct())
+    both = checkpoint(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct().repartition(partitions(edges.sparkSession), "dst").sortWithinPartitions("dst"))
     label = checkpoint(nodes.select("id").distinct().withColumn("label", F.col("id")))
     while True:
-        near = both.join(label.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
-        new = label.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        near = both.join(label.select(F.col("id").alias("dst"), "label").hint("merge"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
+        new = label.join(near.hint("merge"), "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = new.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        new = checkpoint(new.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
+        new = checkpoint(new.join(jump.hint("merge"), "label", "left").select("id", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
         label = new.select("id", "label")
         if new.filter("old <> label").isEmpty():
             return label.select("id", F.col("label").alias("component"))
