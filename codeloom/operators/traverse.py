@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import TRACE_BRANCH, TRACE_DEPTH, TRACE_MIN_STEPS, TRACES_PER_ENTRY
-from ..session import checkpoint, partitions
+from ..session import SMALL, checkpoint, partitions, sized
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "out", stop: DataFrame | None = None, carry: str | None = None) -> DataFrame:
@@ -21,22 +21,26 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "ou
     column whose value at the first step (of several, the least) is passed on.
     """
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")
-    e = edges.select(F.col(a).alias("id"), F.col(b).alias("next"), *([carry] if carry else [])).distinct()
+    e = checkpoint(edges.select(F.col(a).alias("id"), F.col(b).alias("next"), *([carry] if carry else [])).repartition(partitions(edges.sparkSession), "id").sortWithinPartitions("id"))
     keep = ["root"] if carry else []
     front = seeds.select("id").distinct()
     front = front.withColumn("root", F.lit(None).cast("string")) if carry else front
+    front = checkpoint(front)
     seen = front.withColumn("depth", F.lit(0))
+    rows = total = front.count()
     for depth in range(1, max_depth + 1):
-        step = front.join(e, "id")
+        step = sized(front, rows).join(e if rows <= SMALL else e.hint("merge"), "id")
         if carry:
             step = step.select(F.col("next").alias("id"), F.coalesce("root", carry).alias("root")).groupBy("id").agg(F.min("root").alias("root"))
         else:
             step = step.select(F.col("next").alias("id")).distinct()
-        step = step.join(seen.select("id"), "id", "left_anti")
+        step = step.join(sized(seen.select("id"), total), "id", "left_anti")
         if stop is not None:
-            step = step.join(stop.select("id"), "id", "left_anti")
+            step = step.join(stop.select("id").hint("merge"), "id", "left_anti")
         front = checkpoint(step)
-        if front.isEmpty():
+        rows = front.count()
+        total += rows
+        if not rows:
             break
         seen = seen.unionByName(front.select("id", *keep, F.lit(depth).alias("depth")))
     return seen

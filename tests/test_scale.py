@@ -153,6 +153,19 @@ def test_inheritance_by_batches(spark, monkeypatch, kind):
         assert {(r.root, r.name): r.owner for r in won} == best and len(won) == len(best) and all(r.method == f"{r.owner}.{r.name}" for r in won), strategy
 
 
+@pytest.mark.parametrize("name", ["transitive_edge_type"])
+def test_edges_are_not_broadcast(spark, monkeypatch, name):
+    """However small their files are: rounds of over SMALL rows sort, others
+    are sent themselves. 1.1 MB is the least that a broadcast table has."""
+    for at in (session, traverse):
+        monkeypatch.setattr(at, "SMALL", 1000, raising=False)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1200000b")
+    try:
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.1").count() > 0
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_flow_edges_by_threshold(spark):
     from codeloom.sources.tables import flow_edges
 
