@@ -52,22 +52,31 @@ def levels(edges: DataFrame, nodes: DataFrame, max_rounds: int = 10_000) -> Data
     Nodes without an open dependency form a level; nodes of cycles, and those
     that depend on them, form the last level together.
     """
-    open_edges = checkpoint(edges.filter("src <> dst").select("src", "dst").distinct())
-    own_loops = edges.filter("src = dst").select(F.col("src").alias("id")).distinct()
-    left = checkpoint(nodes.select("id").distinct())
+    n = partitions(edges.sparkSession)
+    ids = nodes.select("id").filter("id is not null").distinct()
+    loops = edges.filter("src = dst").select(F.col("src").alias("id")).distinct()
+    e = edges.filter("src <> dst").select("src", "dst").distinct()
+    need = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("need"))
+    todo = checkpoint(ids.join(loops.hint("merge"), "id", "left_anti").join(need.hint("merge"), "id", "left"))
+    e = e.join(todo.withColumnRenamed("id", "src").hint("merge"), "src")
+    e = checkpoint(e.repartition(n, "dst").sortWithinPartitions("dst"))
+    front, met = checkpoint(todo.filter("need is null").select("id")), None
     out = None
     level = 0
-    while level < max_rounds:
-        ready = left.join(open_edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti").join(own_loops, "id", "left_anti")
-        ready = checkpoint(ready)
-        if ready.isEmpty():
+    while level < max_rounds:  # a round looks at those that depend on the last one's nodes
+        rows = front.count()
+        if not rows:
             break
-        out = ready.withColumn("level", F.lit(level)) if out is None else out.unionByName(ready.withColumn("level", F.lit(level)))
-        left = checkpoint(left.join(ready, "id", "left_anti"))
-        open_edges = checkpoint(open_edges.join(ready.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+        ready = front.withColumn("level", F.lit(level))
+        out = ready if out is None else out.unionByName(ready)
+        more = sized(front.withColumnRenamed("id", "dst"), rows).join(e if rows <= SMALL else e.hint("merge"), "dst").groupBy(F.col("src").alias("id"), "need").agg(F.count("*").alias("met"))
+        more = more if met is None else met.unionByName(more).groupBy("id", "need").agg(F.sum("met").alias("met"))
+        more = checkpoint(more)
+        front, met = more.filter("met = need").select("id"), more.filter("met < need")
         level += 1
-    rest = left.withColumn("level", F.lit(level))
-    return rest if out is None else out.unionByName(rest)
+    if out is None:
+        return ids.withColumn("level", F.lit(level))
+    return out.unionByName(ids.join(out.select("id").hint("merge"), "id", "left_anti").withColumn("level", F.lit(level)))
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ def test_inheritance_by_batches(spark, monkeypatch, kind):
         assert {(r.root, r.name): r.owner for r in won} == best and len(won) == len(best) and all(r.method == f"{r.owner}.{r.name}" for r in won), strategy
 
 
-@pytest.mark.parametrize("name", ["transitive_edge_type"])
+@pytest.mark.parametrize("name", ["transitive_edge_type", "toposort_levels"])
 def test_edges_are_not_broadcast(spark, monkeypatch, name):
     """However small their files are: rounds of over SMALL rows sort, others
     are sent themselves. 1.1 MB is the least that a broadcast table has."""
@@ -166,6 +166,24 @@ def test_edges_are_not_broadcast(spark, monkeypatch, name):
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
 
 
+def test_levels_by_rounds(spark):
+    """Random graphs with cycles, loops and ends that are no nodes."""
+    rng = random.Random(6)
+    for most in (1, 3):
+        nodes = list(range(60))
+        edges = {(i, j) for i in range(64) for j in rng.sample(range(64), rng.randrange(most)) if j < i or rng.random() < 0.03}
+        want, left, level = {}, set(nodes), 0
+        while ready := {i for i in left if all(s != i for s, _ in edges)}:
+            want |= dict.fromkeys(ready, level)
+            left -= ready
+            edges_left = {(s, t) for s, t in edges if t not in ready}
+            edges, kept, level = edges_left, edges if level == 0 else kept, level + 1
+        want |= dict.fromkeys(left, level)
+        got = traverse.levels(spark.createDataFrame(sorted(kept), "src long, dst long"), spark.createDataFrame([(i,) for i in nodes] * 2, "id long"))
+        rows = [(r.id, r.level) for r in got.collect()]
+        assert dict(rows) == want and len(rows) == len(want)
+
+
 def test_flow_edges_by_threshold(spark):
     from codeloom.sources.tables import flow_edges
 
