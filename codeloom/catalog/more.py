@@ -16,8 +16,7 @@ _FP = with_("flow", "parts")
 
 @query("entry_flags", f"{_FP} select id, case when id not in (select dst from flow where confidence >= 0.99) or name = 'main' then 1.0 else 0.0 end::double as entry from parts where label = 'Function'")
 def entry_flags(spark: SparkSession, d: str) -> DataFrame:
-    g = flow_graph(spark, d)
-    return T.entry_flags(g.nodes, g.edges.filter("confidence >= 0.99"))
+    return T.entry_flags(part_nodes(spark, d), flow_edges(spark, d, 0.99))
 
 
 @query(
@@ -27,9 +26,8 @@ def entry_flags(spark: SparkSession, d: str) -> DataFrame:
     select root, id, min(depth) as depth from w group by all""",
 )
 def flow_reach(spark: SparkSession, d: str) -> DataFrame:
-    g = flow_graph(spark, d)
-    e = g.edges.filter("confidence >= 0.99")
-    roots = T.entry_flags(g.nodes, e).filter("entry = 1.0").select("id")
+    e = checkpoint(flow_edges(spark, d, 0.99))
+    roots = T.entry_flags(part_nodes(spark, d), e).filter("entry = 1.0").select("id")
     return T.reach(e, roots, 3)
 
 
@@ -41,7 +39,7 @@ def flow_reach(spark: SparkSession, d: str) -> DataFrame:
     select 2, id, c from (select * from h2 where id <> 13 order by c desc, id limit 200) union all select 3, id, c from (select * from h3 where id <> 13 order by c desc, id limit 100)""",
 )
 def hop_impact(spark: SparkSession, d: str) -> DataFrame:
-    return T.hop_impact(flow_edges(spark, d).filter("confidence >= 0.95"), spark.createDataFrame([(13,)], "id long"))
+    return T.hop_impact(flow_edges(spark, d, 0.95), spark.createDataFrame([(13,)], "id long"))
 
 
 @query("component_cohesion")

@@ -132,13 +132,16 @@ def traces(edges: DataFrame, entries: DataFrame, branch: int = TRACE_BRANCH, dep
 
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """(root, id, depth): breadth-first search from every root at once."""
-    e = checkpoint(edges.select(F.col("src").alias("at"), F.col("dst").alias("id")).distinct())
-    front = roots.select(F.col("id").alias("root"), "id").distinct()
+    e = checkpoint(edges.select(F.col("src").alias("at"), F.col("dst").alias("id")).distinct().repartition(partitions(edges.sparkSession), "at").sortWithinPartitions("at"))
+    front = checkpoint(roots.select(F.col("id").alias("root"), "id").distinct())
     seen = front.withColumn("depth", F.lit(0))
+    rows = total = front.count()
     for depth in range(1, max_depth + 1):
-        step = front.withColumnRenamed("id", "at").join(e, "at").select("root", "id").distinct()
-        front = checkpoint(step.join(seen.select("root", "id"), ["root", "id"], "left_anti"))
-        if front.isEmpty():
+        step = sized(front.withColumnRenamed("id", "at"), rows).join(e if rows <= SMALL else e.hint("merge"), "at").select("root", "id").distinct()
+        front = checkpoint(step.join(sized(seen.select("root", "id"), total), ["root", "id"], "left_anti"))
+        rows = front.count()
+        total += rows
+        if not rows:
             break
         seen = seen.unionByName(front.withColumn("depth", F.lit(depth)))
     return seen
@@ -147,7 +150,7 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
 def entry_flags(nodes: DataFrame, calls: DataFrame) -> DataFrame:
     """(id, entry) of functions: 1.0 without a caller or named main, else 0.0."""
     called = calls.select(F.col("dst").alias("id")).distinct().withColumn("_c", F.lit(True))
-    n = nodes.filter("label = 'Function'").join(called, "id", "left")
+    n = nodes.filter("label = 'Function'").join(called.hint("merge"), "id", "left")
     return n.select("id", F.when(F.col("_c").isNull() | (F.col("name") == "main"), 1.0).otherwise(0.0).alias("entry"))
 
 

@@ -25,7 +25,7 @@ def shuffled(spark, run):
 
 
 #: MB at sf0.01, between the figures before (0.57, 4.3, 4.0, 3.0, 44, 6.2, 9.2) and after (0.14, 0.64, 0.88, 0.64, 4.2, 2.8, 1.6).
-LIMITS = {"name_only_calls": 0.3, "c3_mro": 1.5, "method_overrides": 1.5, "ancestors_bfs": 1.5, "communities_louvain": 12, "component_cohesion": 4.2}
+LIMITS = {"name_only_calls": 0.3, "c3_mro": 1.5, "method_overrides": 1.5, "ancestors_bfs": 1.5, "communities_louvain": 12, "component_cohesion": 4.2, "flow_reach": 4}
 
 
 @pytest.mark.parametrize("name", LIMITS)
@@ -184,6 +184,19 @@ def test_levels_by_rounds(spark):
         assert dict(rows) == want and len(rows) == len(want)
 
 
+def test_reach_and_bfs_beyond_small(spark, monkeypatch):
+    """The same whether rounds are broadcast or sorted."""
+    rng = random.Random(7)
+    edges = spark.createDataFrame([(rng.randrange(80), rng.randrange(80), rng.choice("xy")) for _ in range(120)], "src long, dst long, type string")
+    roots = spark.createDataFrame([(i,) for i in range(0, 80, 9)], "id long")
+    both = []
+    for most in (100_000, 0):
+        for at in (session, traverse):
+            monkeypatch.setattr(at, "SMALL", most)
+        both.append([sorted(map(tuple, df.collect())) for df in (traverse.reach(edges, roots, 3), traverse.bfs(edges, roots, 5, stop=roots.limit(2)), traverse.bfs(edges, roots, 5, "in").select("id", "depth"))])
+    assert both[0] == both[1] and all(both[0])
+
+
 def test_flow_edges_by_threshold(spark):
     from codeloom.sources.tables import flow_edges
 
